@@ -188,18 +188,20 @@ def train(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, steps: int = STEPS)
     rows = _table(spark, examples(ORDINARY + corpus), "text string, y string, held boolean")
     known = _table(spark, [{"text": t} for f in NOTICES.values() for t in f], "text string").select(F.explode(grams(F.col("text"))).alias("g")).distinct()
     vocabulary = sorted(r[0] for r in known.collect())
-    features = rows.select(F.array_intersect(grams(F.col("text")), _literal(vocabulary, "array<string>")).alias("g"), F.array(*(F.when(F.col("y") == c, 1.0).otherwise(0.0) for c in classes)).alias("y"), "held").cache()
+    # Features as places in the vocabulary, so that a weight is looked up in one step.
+    place = lambda g: F.array_position(_literal(vocabulary, "array<string>"), g).cast("int")
+    features = rows.select(F.transform(F.array_intersect(grams(F.col("text")), _literal(vocabulary, "array<string>")), place).alias("g"), F.array(*(F.when(F.col("y") == c, 1.0).otherwise(0.0) for c in classes)).alias("y"), "held").cache()
     live = features.where("NOT held")
     n = live.count()
-    weights = {g: [0.0] * len(classes) for g in vocabulary}
+    weights = [[0.0] * len(classes) for _ in vocabulary]
     bias = [0.0] * len(classes)
-    weight_type = "map<string,array<double>>"
+    weight_type = "array<array<double>>"
     for _ in range(steps):
         p = _softmax(_logits(F.col("g"), _literal(weights, weight_type), bias))
-        slopes = live.select(F.explode(F.concat("g", F.array(F.lit("")))).alias("gram"), F.zip_with(p, "y", lambda a, b: a - b).alias("d"))
+        slopes = live.select(F.explode(F.concat("g", F.array(F.lit(0)))).alias("gram"), F.zip_with(p, "y", lambda a, b: a - b).alias("d"))
         # One row a feature of the notices at most.
         for r in slopes.groupBy("gram").agg(*(F.sum(F.col("d")[k]).alias(f"d{k}") for k in range(len(classes)))).collect():
-            own = weights[r["gram"]] if r["gram"] else bias
+            own = weights[r["gram"] - 1] if r["gram"] else bias
             for k in range(len(classes)):
                 own[k] -= RATE * (r[f"d{k}"] / n + DECAY * own[k])
     held = features.where("held").select(_logits(F.col("g"), _literal(weights, weight_type), bias).alias("z"), "y").collect()
@@ -212,7 +214,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, steps: int = STEPS)
             out += math.log(sum(math.exp((z - top) / t) for z in r["z"])) - (r["z"][r["y"].index(1.0)] - top) / t
         return out
 
-    return Model(classes, weights, bias, min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss))
+    return Model(classes, dict(zip(vocabulary, weights, strict=True)), bias, min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss))
 
 
 def _has_stem(text: Column) -> Column:
