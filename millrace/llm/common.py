@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,11 @@ def _clean() -> None:
             return
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` to a lambda variable, so that it is worked out once however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text in order (null: null)."""
     spaced = F.translate(text, WS[1:], " " * (len(WS) - 1))

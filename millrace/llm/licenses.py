@@ -19,12 +19,13 @@ from __future__ import annotations
 import json
 import math
 import random
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let
+
 NONE, UNKNOWN = "none", "unknown"
 #: Notices by family, from the public texts of the licences.
 NOTICES: dict[str, list[str]] = {
@@ -113,11 +114,6 @@ MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.6
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` to a lambda variable, so that it is worked out once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def grams(text: Column) -> Column:
     """Distinct word 1- to 3-grams of a paragraph, in lower case and without punctuation."""
     none = F.array().cast("array<string>")
@@ -126,7 +122,7 @@ def grams(text: Column) -> Column:
         return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
 
     split = F.array_remove(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9.+]+|[.](?![0-9])", " "), " "), "")
-    return _let(split, lambda w: F.array_distinct(F.concat(of(w, 1), of(w, 2), of(w, 3))))
+    return let(split, lambda w: F.array_distinct(F.concat(of(w, 1), of(w, 2), of(w, 3))))
 
 
 def _literal(value: object, schema: str) -> Column:
@@ -140,14 +136,14 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 def _logits(found: Column, weights: Column, bias: list[float]) -> Column:
     """Sum of the weight vectors of the grams found, and the bias."""
-    return F.aggregate(found, F.array(*map(F.lit, bias)), lambda a, g: _let(F.element_at(weights, g), lambda w: F.when(w.isNull(), a).otherwise(F.zip_with(a, w, lambda x, y: x + y))))
+    return F.aggregate(found, F.array(*map(F.lit, bias)), lambda a, g: let(F.element_at(weights, g), lambda w: F.when(w.isNull(), a).otherwise(F.zip_with(a, w, lambda x, y: x + y))))
 
 
 def _softmax(logits: Column) -> Column:
     def norm(e: Column) -> Column:
-        return _let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda s: F.transform(e, lambda x: x / s))
+        return let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda s: F.transform(e, lambda x: x / s))
 
-    return _let(logits, lambda z: _let(F.array_max(z), lambda m: _let(F.transform(z, lambda x: F.exp(x - m)), norm)))
+    return let(logits, lambda z: let(F.array_max(z), lambda m: let(F.transform(z, lambda x: F.exp(x - m)), norm)))
 
 
 @dataclass(frozen=True)
@@ -247,9 +243,9 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             probability = F.array_max(_softmax(F.transform(z, lambda x: x / model.temperature)))
             best = F.element_at(labels, F.array_position(z, F.array_max(z)).cast("int"))
             overlap = lambda b: F.coalesce(F.array_max(F.transform(F.element_at(notices_of, b), lambda t: F.size(F.array_intersect(t, g)) / F.size(t))), F.lit(0.0))
-            return _let(F.struct(best.alias("best"), probability.alias("probability")), lambda c: F.struct(i.alias("paragraph"), p.alias("text"), c["best"].alias("best"), c["probability"].alias("probability"), overlap(c["best"]).alias("overlap")))
+            return let(F.struct(best.alias("best"), probability.alias("probability")), lambda c: F.struct(i.alias("paragraph"), p.alias("text"), c["best"].alias("best"), c["probability"].alias("probability"), overlap(c["best"]).alias("overlap")))
 
-        return _let(grams(p), lambda g: _let(_logits(g, weights, model.bias), lambda z: with_class(g, z)))
+        return let(grams(p), lambda g: let(_logits(g, weights, model.bias), lambda z: with_class(g, z)))
 
     # Only texts with a stem are cut into paragraphs, and only paragraphs with one are judged.
     text = F.col("_text")

@@ -10,12 +10,13 @@ The order changes the cost and which rule is named, never the verdict.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, words_of
+from .common import WS, let, words_of
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -29,63 +30,83 @@ UNIT_COST = {"chars": 1.0, "words": 12.0, "lines": 40.0, "windows": 30.0}
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where ``when`` holds; ``work`` names the units that its columns walk over."""
+    """Rejects where ``when`` (of the measures by name) holds; ``work`` names the units that it walks over."""
 
     name: str
-    when: Column
+    when: Callable[[dict[str, Column]], Column]
     work: tuple[str, ...] = field(default=())
 
 
+def _repeated(words: Column) -> Column:
+    """Words in windows of WINDOW words that occur twice or more in the text."""
+    n = F.size(words)
+    starts = F.sequence(F.lit(1), n - (WINDOW - 1))
+    hashes = F.when(n > WINDOW, F.transform(starts, lambda i: F.xxhash64(*(F.element_at(words, i + k) for k in range(WINDOW)))))
+
+    def covered(at: Column) -> Column:
+        # Repeated windows may overlap: each covers the words up to the next one's start.
+        steps = F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW))))
+        return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
+
+    def places(s: Column) -> Column:
+        other = lambda k: F.get(s, k)["w"]
+        same = lambda x, k: F.coalesce(x["w"] == other(k - 1), F.lit(False)) | F.coalesce(x["w"] == other(k + 1), F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
+
+    # Equal windows have equal hashes; only texts with equal hashes compare the windows themselves.
+    windows = F.sort_array(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i, WINDOW), " ").alias("w"), i.alias("i"))))
+    exact = let(windows, lambda s: let(places(s), covered))
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), exact).otherwise(0))
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter")
+
+
+def _measures() -> dict[str, Column]:
+    """Each measure as one expression over _text, _words and _lines."""
+    words, lines, text = F.col("_words"), F.col("_lines"), F.col("_text")
+    found = {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.translate(text, WS, "")),
+        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": _repeated(words),
+        "n_stutter": F.size(F.filter(words, lambda w, k: F.coalesce(w == F.get(words, k - 1), F.lit(False)))),
+    }
+    return {k: v.cast("long") for k, v in found.items()}
+
+
+def _cut(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    rest = [c for c in docs.columns if c not in (*MEASURES, "rejected_by", "_text", "_words", "_lines")]
+    d = docs.select(*rest, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    return d.select("*", words_of(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n"), lambda x: F.octet_length(F.translate(x, WS, "")) > 0).alias("_lines")), rest
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stutter of every whole text.
 
     Null text has no words.  Columns of those names are replaced.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rest = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter", "_text", "_words", "_lines", "_hashes", "_again", "_windows", "_at")]
-    d = docs.select(*rest, text.alias("_text"))
-    d = d.select("*", words_of(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n"), lambda x: F.octet_length(F.translate(x, WS, "")) > 0).alias("_lines"))
-    n = F.size("_words")
-    hashes = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(*(F.element_at("_words", i + k) for k in range(WINDOW)))))
-    d = d.select("*", hashes.alias("_hashes"))
-    # Equal windows have equal hashes; only texts with equal hashes compare the windows themselves.
-    d = d.select("*", F.coalesce(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.lit(False)).alias("_again"))
-    joined = lambda i: F.struct(F.array_join(F.slice("_words", i, WINDOW), " ").alias("w"), i.alias("i"))
-    windows = F.sort_array(F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), joined))
-    d = d.select("*", F.when(F.col("_again"), windows).alias("_windows"))
-    other = lambda k: F.get("_windows", k)["w"]
-    same = lambda x, k: F.coalesce(x["w"] == other(k - 1), F.lit(False)) | F.coalesce(x["w"] == other(k + 1), F.lit(False))
-    places = F.sort_array(F.transform(F.filter("_windows", same), lambda x: x["i"]))
-    d = d.select("*", F.when(F.col("_again") & (F.size("_windows") > 0), places).alias("_at"))
-    # Repeated windows may overlap: each covers the words up to the next one's start.
-    covered = F.aggregate(
-        F.transform("_at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x
-    )
-    return d.select(
-        *rest, n.cast("long").alias("n_words"),
-        F.length(F.translate("_text", WS, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_again") & (F.size("_at") > 0), covered).otherwise(0).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("_words", lambda w, k: F.coalesce(w == F.get("_words", k - 1), F.lit(False)))).cast("long").alias("n_stutter"),
-    )
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    d, rest = _cut(docs)
+    return d.select(*rest, *(v.alias(k) for k, v in _measures().items()))
+
+
+def base_failed(m: dict[str, Column] | None = None) -> Column:
+    m = m or {k: F.col(k) for k in MEASURES}
+    return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
 def rules() -> list[Rule]:
-    """The standing rules; their columns are those of :func:`measured`."""
+    """The standing rules."""
     return [
-        Rule("few_words", F.col("n_words") < MIN_WORDS, ("words",)),
-        Rule("repeated_words", 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"), ("words", "windows")),
-        Rule("repeated_lines", 100 * F.col("n_dup_lines") > 50 * F.col("n_lines"), ("chars", "lines")),
-        Rule("stutter", 100 * F.col("n_stutter") > 30 * F.col("n_words"), ("words",)),
-        Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words"), ("chars", "words")),
-        Rule("short_words", F.col("word_chars") < 2 * F.col("n_words"), ("chars", "words")),
-        Rule("long_words", F.col("word_chars") > 20 * F.col("n_words"), ("chars", "words")),
+        Rule("few_words", lambda m: m["n_words"] < MIN_WORDS, ("words",)),
+        Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"], ("words", "windows")),
+        Rule("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"], ("chars", "lines")),
+        Rule("stutter", lambda m: 100 * m["n_stutter"] > 30 * m["n_words"], ("words",)),
+        Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"], ("chars", "words")),
+        Rule("short_words", lambda m: m["word_chars"] < 2 * m["n_words"], ("chars", "words")),
+        Rule("long_words", lambda m: m["word_chars"] > 20 * m["n_words"], ("chars", "words")),
     ]
 
 
@@ -104,7 +125,7 @@ def order_rules(docs: DataFrame, given: list[Rule], sample_docs: int = SAMPLE_DO
     row = measured(part).agg(
         F.count("*").alias("n"),
         *(F.sum(v).alias(f"work_{k}") for k, v in work.items()),
-        *(F.count(F.when(r.when, 1)).alias(f"rule_{i}") for i, r in enumerate(given)),
+        *(F.count(F.when(r.when({k: F.col(k) for k in MEASURES}), 1)).alias(f"rule_{i}") for i, r in enumerate(given)),
     ).first()
     if not row["n"]:
         return list(given)
@@ -113,16 +134,23 @@ def order_rules(docs: DataFrame, given: list[Rule], sample_docs: int = SAMPLE_DO
     return sorted(given, key=lambda r: (-gain[r.name], r.name))
 
 
-def verdicts(docs: DataFrame, given: list[Rule] | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Add the measured columns and rejected_by: the first rule of the cascade that rejects, null for kept.
+def verdicts(docs: DataFrame, given: list[Rule] | None = None, sample_docs: int = SAMPLE_DOCS, with_measures: bool = False) -> DataFrame:
+    """Add rejected_by: the first rule of the cascade that rejects, null for kept.
 
-    Null text has no words, so ``few_words`` rejects it.  An empty table gives an
-    empty result; repeated rows get equal verdicts; columns of those names are
-    replaced.
+    Dear measures are only worked out for documents that no rule before rejects;
+    ``with_measures`` adds the measures of all.  Null text has no words, so
+    ``few_words`` rejects it.  An empty table gives an empty result; repeated rows
+    get equal verdicts; columns of those names are replaced.
     """
-    given = rules() if given is None else given
-    d = measured(docs.drop("rejected_by"))
+    ordered = order_rules(docs, rules() if given is None else given, sample_docs)
+    if with_measures:
+        d = measured(docs.drop("rejected_by"))
+        rest, m = d.columns, {k: F.col(k) for k in MEASURES}
+    else:
+        d, rest = _cut(docs)
+        m = _measures()
     cascade = F.lit(None).cast("string")
-    for rule in reversed(order_rules(docs, given, sample_docs)):
-        cascade = F.when(rule.when, rule.name).otherwise(cascade)
-    return d.withColumn("rejected_by", cascade)
+    for rule in reversed(ordered):
+        cascade = F.when(rule.when(m), rule.name).otherwise(cascade)
+    # A row number keeps the optimiser from copying the expressions into filters on the verdict.
+    return d.select(*rest, F.when(F.monotonically_increasing_id() >= 0, cascade).alias("rejected_by"))
