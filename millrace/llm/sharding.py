@@ -93,7 +93,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     rows = materialize(sized(docs))
     total = rows.count()
     most = max(1, total // shards // 2)
-    groups = rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # A written table, so that the join below is of two plain shuffles, which Spark can split where a key is hot.
+    groups = materialize(rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     # Each row of a group beyond half a shard takes one of its parts.
     parts = F.ceil(F.col("n") / most).cast("int")
     part = F.when(F.col("n").isNotNull(), F.struct("key", F.pmod(F.xxhash64("row"), parts).alias("i")))
