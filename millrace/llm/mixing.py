@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     hashes of doc_id and text size.  Input columns with those names give way.  An
     empty table gives an empty result.
     """
-    own = ("row", "size", "source_size", "target", "rate", "copies", "taken", "sid")
+    own = ("u", "y", "lam", "full", "mean", "miss", "shift", "size", "source_size", "target", "rate", "copies", "taken", "sid")
     kept = [c for c in docs.columns if c not in own] if with_rows else ["doc_id"]
     source = F.col("source").cast("string")
     sid = F.struct(F.coalesce(source, F.lit("")).alias("s"), source.isNull().alias("no"))
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     sizes = hist.groupBy("sid").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n"))
     named = sizes.select(F.when(~F.col("sid.no"), F.col("sid.s")).alias("source"), "source_size")
     aim = targets(named, weights, most).select(F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no")).alias("sid"), "target")
-    goal = materialize(sizes.join(aim, "sid").withColumn("mean", F.col("source_size") / F.col("n")))
+    goal = materialize(sizes.withColumn("mean", F.col("source_size") / F.col("n")).drop("n").join(aim, "sid"))
     solved = _solve(hist, goal, most).select("sid", "lam", "full").join(goal, "sid")
     tilt = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0)))
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("full"), most).when(F.col("target") <= 0, 0.0).otherwise(F.least(tilt, F.lit(most)))
