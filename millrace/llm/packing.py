@@ -50,6 +50,7 @@ def encoder(path: str = TOKENIZER):
     """
     if path in _encoders:
         return _encoders[path]
+    import tiktoken
     from tokenizers import Tokenizer
 
     where = tokenizer_path(path)
@@ -59,16 +60,14 @@ def encoder(path: str = TOKENIZER):
     def by_tokenizers(texts: list[str]) -> list[list[int]]:
         return [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = {chr(b): b for b in visible}
+    chars |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
+    with open(where, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    ranks = {bytes(chars[c] for c in k): v for k, v in vocab.items() if all(c in chars for c in k) and not k.startswith("<|")}
     out = by_tokenizers
-    try:
-        import tiktoken
-
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        chars = {chr(b): b for b in visible}
-        chars |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
-        with open(where, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        ranks = {bytes(chars[c] for c in k): v for k, v in vocab.items() if all(c in chars for c in k) and not k.startswith("<|")}
+    if len({len(r) == 1 and r for r in ranks}) == 257:  # every byte has a rank
         fast = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def by_ranks(texts: list[str]) -> list[list[int]]:
@@ -76,8 +75,6 @@ def encoder(path: str = TOKENIZER):
 
         if by_ranks([_PROBE]) == by_tokenizers([_PROBE]):
             out = by_ranks
-    except (ImportError, KeyError, ValueError):
-        pass
     _encoders[path] = out
     return out
 
