@@ -25,8 +25,9 @@ from .common import materialize
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
-#: Ranks are counted in this many parts a length, so that no length is hot.
-SALTS = 64
+#: Ranks are counted in parts of about this many pieces a length, so that no length is hot; and bounds of the parts of a length.
+PART_PIECES = 50_000
+LEAST_PARTS, MOST_PARTS = 8, 1024
 #: The public pre-tokenisation pattern of this byte-level BPE vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PROBE = "It's  a\t\n test, of 1234 ids\r\néß 你好 <|endoftext|> \U0001f600x"
@@ -187,8 +188,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = [c for c in names if c != "ids"]
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     table = spark.sparkContext.broadcast(slots(plan_bins(counts, capacity)))
-    salted = pieces.select(*names, F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int").alias("_salt"))
-    # At most capacity * SALTS rows, so this side may be broadcast.
+    parts = [min(MOST_PARTS, max(LEAST_PARTS, -(-counts.get(k + 1, 0) // PART_PIECES))) for k in range(capacity)]
+    salted = pieces.select(*names, F.pmod(F.xxhash64(*order), F.element_at(F.lit(parts), F.col("length").cast("int"))).cast("int").alias("_salt"))
+    # At most capacity * MOST_PARTS rows, and of those one for PART_PIECES pieces beyond the first; so this side may be broadcast.
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
