@@ -126,6 +126,15 @@ class Runner:
         self.store.put("runs", rows)
         return {"batch_run_id": run, "status": status, **counts}
 
+    def plan(self) -> list[dict]:
+        """What a run would do now, without writing: tables in order with mode and window."""
+        out = []
+        for t in due(self.store.read("config"), self.store.read("state")).collect():
+            source = self.source(f"{t['source_schema']}.{t['source_table']}")
+            high = None if t["load_type"] == "FULL_REFRESH" else high_mark(source, t["change_date_column"])
+            out.append({"table_id": t["table_id"], "load_type": t["load_type"], "phase": t["phase"], "low": t["marker"], "high": None if high is None else str(high)})
+        return out
+
     def _table(self, run: str, t: dict) -> str:
         table, step = t["table_id"], "SELECT"
         if self._closed(t["last_duration_seconds"]):

@@ -117,3 +117,10 @@ def ready_files(files: DataFrame, config: DataFrame, after: object = None) -> Da
     if after is not None:
         published = published.where(F.col("published_at") > F.lit(after).cast("timestamp_ntz"))
     return published.join(config.select("table_id", "source_schema", "source_table"), "table_id").select("source_schema", "source_table", "path", "row_count", "byte_size", "published_at")
+
+
+def create_views(store: ControlStore) -> None:
+    """Temporary views of the control tables, and ``files_ready_for_load`` over them."""
+    for name in SCHEMAS:
+        store.read(name).createOrReplaceTempView(f"md_{name}")
+    ready_files(store.read("files"), store.read("config")).createOrReplaceTempView("files_ready_for_load")

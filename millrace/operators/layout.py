@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,25 @@ def write_clustered(df: DataFrame, path: str, column: str, files: int) -> None:
     df.repartitionByRange(files, column).sortWithinPartitions(column).write.mode("overwrite").parquet(path)
 
 
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    df.write.mode("overwrite").csv(path, sep=sep, header=True)
+
+
+def write_lines(df: DataFrame, path: str, sep: str = " ") -> None:
+    """Rows as text with a separator of any length; null is empty."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    df.select(F.concat_ws(sep, *texts).alias("value")).write.mode("overwrite").text(path)
+
+
+def append_evolving(df: DataFrame, path: str) -> None:
+    """Append rows that may have new columns; :func:`read_evolving` merges the schemas."""
+    df.write.mode("append").parquet(path)
+
+
+def read_evolving(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def run_folder(root: str, schema: str, table: str, load_type: str, stamp: str) -> str:
     """The folder of one extraction; a retry of the same run replaces it."""
     return f"{root.rstrip('/')}/{schema.lower()}/{table.lower()}/load_type={load_type.lower()}/run_id={stamp}"

@@ -87,6 +87,11 @@ def sql(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(rewrite_qualify(text.strip().rstrip(";")))
 
 
+def set_variable(spark: SparkSession, name: str, value: str) -> None:
+    """A session variable from an SQL expression, replaced if it is there."""
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} = {value}")
+
+
 @dataclass(frozen=True)
 class Clause:
     """One WHEN of a MERGE: kind ``matched``, ``insert`` or ``source`` (not matched by source)."""

@@ -337,6 +337,31 @@ def test_manifest(spark, tmp_path):
     assert doc.total == 100 and sum(e.meta.record_count for e in doc.entries) == 100 and all(e.meta.content_length > 0 for e in doc.entries)
 
 
+def test_text_and_evolving_sinks(spark, tmp_path):
+    d = spark.createDataFrame([(1, None, "x"), (2, "b", "y")], "a int, b string, c string")
+    layout.write_lines(d.coalesce(1), str(tmp_path / "t"), " | ")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ["1 |  | x", "2 | b | y"]
+    layout.write_csv(d, str(tmp_path / "c"), "\t")
+    assert files.read_csv(spark, str(tmp_path / "c"), "a int, b string, c string", sep="\t").count() == 2
+    layout.append_evolving(d.select("a"), str(tmp_path / "e"))
+    layout.append_evolving(d, str(tmp_path / "e"))
+    assert layout.read_evolving(spark, str(tmp_path / "e")).columns == ["a", "b", "c"] and layout.read_evolving(spark, str(tmp_path / "e")).count() == 4
+
+
+def test_plan_and_views(spark, tmp_path):
+    from millrace.control.tables import create_views
+    from millrace.sql import set_variable
+
+    store = ControlStore(spark, str(tmp_path / "control"))
+    store.register(CONFIG)
+    runner = extract.Runner(store, lambda n: spark.range(3).select("id", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts")), str(tmp_path / "out"), lambda: datetime(2024, 5, 1))
+    assert [(p["table_id"], p["load_type"], p["high"]) for p in runner.plan()] == [(1, "INCREMENTAL", "2024-01-01 00:00:00"), (2, "FULL_REFRESH", None)]
+    assert store.rows("runs") == [] and not (tmp_path / "out").exists()
+    create_views(store)
+    set_variable(spark, "low", "2")
+    assert spark.sql("SELECT * FROM md_config WHERE table_id >= low").count() == 2 and spark.table("files_ready_for_load").count() == 0
+
+
 def test_catalogue_file_and_listing(spark, tmp_path):
     (tmp_path / "c.cfg").write_text("# id|job\n\n1|Job_A\n# x\n2|Job_B\n")
     assert [r.job for r in files.read_catalogue(spark, str(tmp_path / "c.cfg"), ["id", "job"]).orderBy("ordinal").collect()] == ["Job_A", "Job_B"]
