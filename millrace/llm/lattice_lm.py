@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ LONGEST_VECTOR = 40
 MAX_PIECE = 16
 SMOOTH = 0.1
 START = "▁"
+#: Bits of a slot's place in the tables of pieces.
+_BITS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, Lattice] = {}
 
@@ -68,16 +70,24 @@ class Lattice:
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.chars = {c for p in pieces for c in p}
         self.hashes = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
-        bits = 20
-        self.shift = np.uint64(64 - bits)
-        # Open table: a slot holds one piece; the few others go to a sorted rest.
-        self.slot = np.full(1 << bits, -1, dtype=np.int32)
-        at = (self.hashes >> self.shift).astype(np.int64)
-        first = np.unique(at, return_index=True)[1]
-        self.slot[at[first]] = first
-        rest = np.setdiff1d(np.arange(len(pieces)), first)
-        order = np.argsort(self.hashes[rest])
-        self.rest, self.rest_hash = rest[order], self.hashes[rest][order]
+        # Two open tables, by the top and by the low bits: a slot holds one piece.  The
+        # few that find no slot in either go to a sorted rest.
+        self.slots, left = [], np.arange(len(pieces))
+        for at in map(self._slot, (0, 1)):
+            table = np.full(1 << _BITS, -1, dtype=np.int32)
+            places = at(self.hashes[left])
+            first = np.unique(places, return_index=True)[1]
+            table[places[first]] = left[first]
+            self.slots.append(table)
+            left = np.delete(left, first)
+        order = np.argsort(self.hashes[left])
+        self.rest, self.rest_hash = left[order], self.hashes[left][order]
+
+    @staticmethod
+    def _slot(table: int) -> Callable[[np.ndarray], np.ndarray]:
+        if table:
+            return lambda h: (h & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+        return lambda h: (h >> np.uint64(64 - _BITS)).astype(np.int64)
 
     @staticmethod
     def start(pieces: list[str]) -> Lattice:
@@ -106,54 +116,59 @@ class Lattice:
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 for none."""
-        at = self.slot[(hashes >> self.shift).astype(np.int64)]
+        at = self.slots[0][self._slot(0)(hashes)]
         found = np.where((at >= 0) & (self.hashes[at] == hashes), at, -1)
+        at = self.slots[1][self._slot(1)(hashes)]
+        found = np.where((at >= 0) & (self.hashes[at] == hashes), at, found)
         if len(self.rest):
             k = np.minimum(np.searchsorted(self.rest_hash, hashes), len(self.rest) - 1)
             found = np.where(self.rest_hash[k] == hashes, self.rest[k], found)
         return found
 
-    def _edges(self, spelled: list[str]) -> tuple[np.ndarray, list[list[np.ndarray | None]]]:
-        """ids[k][i]: the piece of length k + 1 that starts at i, for words of one length."""
+    def _edges(self, spelled: list[str]) -> list[list[tuple[int, np.ndarray]]]:
+        """For each end j the (start i, ids of the pieces from i to j) that any word has; words of one length."""
         n = len(spelled[0])
-        codes = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, n).astype(np.uint64)
-        ids: list[list[np.ndarray | None]] = []
-        h = np.zeros((len(spelled), n), dtype=np.uint64)
+        codes = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, n).T.astype(np.uint64) + np.uint64(1)
+        edges: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
+        h = np.zeros((n, len(spelled)), dtype=np.uint64)
         for k in range(min(n, MAX_PIECE)):
-            h = h[:, : n - k] * _BASE + codes[:, k:] + np.uint64(1)
+            h = h[: n - k] * _BASE + codes[k:]
             found = self.lookup(self._mix(h))
-            ids.append([found[:, i] for i in range(n - k)])
-        return codes, ids
+            for i in np.nonzero((found >= 0).any(1))[0]:
+                edges[i + k + 1].append((int(i), found[i]))
+        return edges
 
     @staticmethod
     def _sum(parts: list[np.ndarray]) -> np.ndarray:
-        if not parts:
-            raise ValueError("no way to reach this position")
+        if len(parts) == 1:
+            return parts[0]
         x = np.stack(parts)
         top = x.max(0)
-        top = np.where(np.isfinite(top), top, 0)
+        top[top == -np.inf] = 0
+        x -= top
+        np.exp(x, out=x)
         with np.errstate(divide="ignore"):
-            return top + np.log(np.exp(x - top).sum(0))
+            return top + np.log(x.sum(0))
 
     def batch(self, spelled: list[str], weights: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
         """Log-probabilities of words of one length; adds expected piece counts, if asked."""
         n = len(spelled[0])
-        _, ids = self._edges(spelled)
         logp = np.append(self.logp, -np.inf)
-        score = [[logp[x] for x in row] for row in ids]
+        edges = [[(i, at, logp[at]) for i, at in row] for row in self._edges(spelled)]
         forward = [np.zeros(len(spelled))]
         for j in range(1, n + 1):
-            forward.append(self._sum([forward[j - k - 1] + score[k][j - k - 1] for k in range(min(j, MAX_PIECE))]))
+            forward.append(self._sum([forward[i] + score for i, _, score in edges[j]]))
         if expected is not None:
-            backward = [np.zeros(0)] * n + [np.zeros(len(spelled))]
-            for i in range(n - 1, -1, -1):
-                backward[i] = self._sum([backward[i + k + 1] + score[k][i] for k in range(min(n - i, MAX_PIECE))])
-            for k, row in enumerate(ids):
-                for i, at in enumerate(row):
-                    share = np.exp(forward[i] + score[k][i] + backward[i + k + 1] - forward[n])
+            back: list[list[np.ndarray]] = [[] for _ in range(n)]
+            with np.errstate(divide="ignore"):
+                log_weight = np.log(weights)
+            for j in range(n, 0, -1):
+                after = self._sum(back[j]) if j < n else log_weight - forward[n]
+                for i, at, score in edges[j]:
+                    path = score + after
+                    back[i].append(path)
                     live = at >= 0
-                    if live.any():
-                        expected += np.bincount(at[live], weights=(share * weights)[live], minlength=len(expected))
+                    expected += np.bincount(at[live], weights=np.exp(forward[i] + path)[live], minlength=len(expected))
         return forward[n]
 
     def long(self, spelled: str) -> float:
@@ -199,6 +214,19 @@ def _text(word: bytes) -> str:
     return word.decode("utf-8", "surrogatepass")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.Table]:
+    """Batches joined to tables of about ``rows`` rows, which the vectorised recursion needs to pay."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, c, seen): counts in training texts (column ``train``) and whether seen at all."""
 
@@ -239,8 +267,8 @@ def fit(spark: SparkSession, words: DataFrame, ends: int, vocabulary: str = VOCA
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = _lattice_of(*shared.value)
             expected = np.zeros(len(own.pieces))
-            for batch in batches:
-                c = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            for batch in _gathered(batches):
+                c = batch.column(1).to_numpy().astype(float)
                 own.score([_text(w) for w in batch.column(0).to_pylist()], c, expected)
             live = np.nonzero(expected)[0]
             yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(expected[live])], names=["piece", "n"])
@@ -276,10 +304,11 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int =
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _lattice_of(*model.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             score = own.score([_text(w) for w in batch.column(0).to_pylist()]) / math.log(10)
-            base = np.log10((batch.column(1).to_numpy(zero_copy_only=False) + 0.5) / whole)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base), pa.array(score)], names=["word", "c", "base", "lattice"])
+            base = np.log10((batch.column(1).to_numpy() + 0.5) / whole)
+            table = pa.table([*batch.columns, pa.array(base), pa.array(score)], names=["word", "c", "base", "lattice"])
+            yield from table.to_batches(max_chunksize=10_000)
 
     words = materialize(counted.mapInArrow(weigh, "word binary, c long, base double, lattice double"))
     discard(counted)
