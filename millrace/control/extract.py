@@ -23,11 +23,12 @@ STEPS = ("SELECT", "LOCK", "SCHEMA", "BOUNDS", "EXTRACT", "VERIFY", "PUBLISH", "
 #: Faults and what to do: retry with back-off, smaller chunks, fail without retry, hold, stop the run, disable.
 POLICY = {
     "transient": "retry", "resource": "smaller_chunks", "count_mismatch": "fail",
-    "schema_drift": "hold", "mass_failure": "stop_run", "repeat_failure": "disable",
+    "schema_drift": "hold", "mass_failure": "stop_run", "repeat_failure": "disable", "unknown": "fail",
 }
 MAX_ATTEMPTS = 3
 REPEATED = 3
 MASS_SHARE = 0.5
+MASS_LEAST = 4
 
 
 class ReconcileError(RuntimeError):
@@ -44,6 +45,15 @@ def decide(fault: str, attempt: int = 1, consecutive: int = 0, failed_share: flo
     return "fail" if action == "retry" and attempt >= MAX_ATTEMPTS else action
 
 
+def fault_of(error: Exception) -> str:
+    """The fault that an error stands for; a caller may know better."""
+    if isinstance(error, ReconcileError):
+        return "count_mismatch"
+    if isinstance(error, MemoryError):
+        return "resource"
+    return "transient" if isinstance(error, (OSError, TimeoutError)) else "unknown"
+
+
 def due(config: DataFrame, state: DataFrame) -> DataFrame:
     """Tables to run in order: priority, then size (baseline) or last duration (incremental), largest first."""
     both = config.where("in_scope AND enabled").join(state, "table_id").where("phase <> 'HELD'")
@@ -95,9 +105,12 @@ class Runner:
 
     source: table name -> DataFrame.  clock: the time, injected.  closes: when no
     new table or chunk may start.  fail: a hook that tests use to break a step.
+    fault: names the fault of an error, which :func:`decide` turns into an action;
+    wait: the back-off before the next attempt.
     """
 
-    def __init__(self, store: ControlStore, source: Callable[[str], DataFrame], root: str, clock: Callable[[], datetime], slots: int = 6, closes: datetime | None = None, fail: Callable[[str, int], None] = lambda step, table: None) -> None:
+    def __init__(self, store: ControlStore, source: Callable[[str], DataFrame], root: str, clock: Callable[[], datetime], slots: int = 6, closes: datetime | None = None, fail: Callable[[str, int], None] = lambda step, table: None, fault: Callable[[Exception], str] = fault_of, wait: Callable[[int], None] = lambda attempt: None) -> None:
+        self.fault, self.wait, self._ended = fault, wait, []
         self.store, self.source, self.root, self.clock, self.slots, self.closes, self.fail = store, source, root, clock, slots, closes, fail
         self._lock = Lock()
 
@@ -137,8 +150,19 @@ class Runner:
 
     def _table(self, run: str, t: dict) -> str:
         table, step = t["table_id"], "SELECT"
-        if self._closed(t["last_duration_seconds"]):
+        if self._closed(t["last_duration_seconds"]) or self._mass_failure():
             return "SKIPPED"
+        out = self._attempt(run, t, table, step)
+        with self._lock:
+            self._ended.append(out)
+        return out
+
+    def _mass_failure(self) -> bool:
+        with self._lock:
+            n = len(self._ended)
+            return n >= MASS_LEAST and decide("unknown", failed_share=self._ended.count("FAILED") / n) == "stop_run"
+
+    def _attempt(self, run: str, t: dict, table: int, step: str) -> str:
         try:
             step = "LOCK"
             with self._lock:
@@ -176,7 +200,7 @@ class Runner:
                     self._state(table, locked_by=None, locked_at=None)
                     return "SKIPPED"
                 part = source if bounds is None else chunk(source, t["chunk_column"], *bounds, first=no == 0)
-                self._extract(run, t, part, no if bounds else None, (str(bounds[0]), str(bounds[1])) if bounds else (low, high))
+                self._tried(run, t, part, no if bounds else None, (str(bounds[0]), str(bounds[1])) if bounds else (low, high))
             step = "MARKER"
             self.fail(step, table)
             after = {"marker": high, "phase": "INCREMENTAL"} if t["load_type"] == "INCREMENTAL" else {"phase": "INCREMENTAL"}
@@ -185,14 +209,31 @@ class Runner:
             return "SUCCEEDED"
         except Exception as e:  # one table's failure is recorded and must not stop the others
             self._log(run, table, step, "ERROR", f"{type(e).__name__}: {e}")
-            self._state(table, consecutive_failures=t["consecutive_failures"] + 1, locked_by=None, locked_at=None)
+            failures = t["consecutive_failures"] + 1
+            self._state(table, consecutive_failures=failures, locked_by=None, locked_at=None)
+            if decide(self.fault(e), MAX_ATTEMPTS, failures) == "disable":
+                with self._lock:
+                    self.store.put("config", [r | {"enabled": False} if r["table_id"] == table else r for r in self.store.rows("config")])
+                self._log(run, table, step, "WARNING", "disabled after repeated failures")
             return "FAILED"
 
+    def _tried(self, run: str, t: dict, part: DataFrame, no: int | None, bounds: tuple) -> None:
+        """Extract one window; transient faults are tried again, as each try replaces its folder."""
+        for attempt in range(1, MAX_ATTEMPTS + 1):
+            try:
+                return self._extract(run, t, part, no, bounds, attempt)
+            except Exception as e:  # which errors end the table is the policy's decision
+                if decide(self.fault(e), attempt) != "retry":
+                    raise
+                self._log(run, t["table_id"], "EXTRACT", "RETRY", f"{type(e).__name__}: {e}")
+                self.wait(attempt)
+        return None
+
     def _state(self, table: int, **values: object) -> None:
         with self._lock:
             self.store.update(table, **values)
 
-    def _extract(self, run: str, t: dict, part: DataFrame, no: int | None, bounds: tuple) -> None:
+    def _extract(self, run: str, t: dict, part: DataFrame, no: int | None, bounds: tuple, attempt: int) -> None:
         table = t["table_id"]
         folder = run_folder(self.root, t["source_schema"], t["source_table"], t["load_type"], run) + (f"/chunk={no:05d}" if no is not None else "")
         start = self.clock()
@@ -208,4 +249,4 @@ class Runner:
             task = len(self.store.rows("tasks")) + 1
             now = self.clock()
             self.store.add("files", [{"task_id": task, "table_id": table, "path": f["url"], "row_count": f["record_count"], "byte_size": f["content_length"], "published_at": now} for f in files])
-            self.store.add("tasks", [{"task_id": task, "batch_run_id": run, "table_id": table, "chunk_no": no, "attempt": 1, "window_from": bounds[0] and str(bounds[0]), "window_to": bounds[1] and str(bounds[1]), "status": "PUBLISHED", "rows_extracted": written, "source_rows": written, "file_count": len(files), "bytes_written": sum(f["content_length"] for f in files), "target": folder, "start_at": start, "duration_seconds": int((now - start).total_seconds())}])
+            self.store.add("tasks", [{"task_id": task, "batch_run_id": run, "table_id": table, "chunk_no": no, "attempt": attempt, "window_from": bounds[0] and str(bounds[0]), "window_to": bounds[1] and str(bounds[1]), "status": "PUBLISHED", "rows_extracted": written, "source_rows": written, "file_count": len(files), "bytes_written": sum(f["content_length"] for f in files), "target": folder, "start_at": start, "duration_seconds": int((now - start).total_seconds())}])

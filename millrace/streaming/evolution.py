@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..sources.files import listing
+from .ingest import drained, processed_files
+
 RESCUED = "_rescued_data"
 
 
@@ -64,6 +68,30 @@ def track(spark: SparkSession, store: SchemaStore, pending: Sequence[str], mode:
     return known
 
 
+def auto_load(spark: SparkSession, landing: str, target: str, checkpoint: str, schemas: str, mode: str = "addNewColumns", hints: dict[str, str] | None = None, glob: str = "*.json") -> int:
+    """Append JSON files not seen before, with schema tracking and rescued data; returns the rows read.
+
+    The schema is inferred from the files that are pending and kept under
+    ``schemas``.  With ``addNewColumns`` a new field stops the run before anything
+    is read; the run after it takes the field in.  Read the target back with
+    ``mergeSchema``.
+    """
+    files = listing(spark, landing, glob)
+    try:
+        files = files.join(processed_files(spark, checkpoint).select("path"), "path", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    pending = [r[0] for r in files.select("path").collect()]
+    store = SchemaStore(spark, schemas)
+    if not pending:
+        return 0
+    schema = track(spark, store, pending, mode, hints)
+    lines = spark.readStream.option("pathGlobFilter", glob).text(landing).select("value", "_metadata")
+    query = rescued(lines, schema).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return drained(query)
+
+
 def rescued(lines: DataFrame, schema: StructType, value: str = "value") -> DataFrame:
     """JSON lines as typed columns plus ``_rescued_data``.
 

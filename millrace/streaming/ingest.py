@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,8 @@ from ..operators.windows import latest_per_key
 from ..sources.files import listing
 
 
-def _drained(query) -> int:
+def drained(query) -> int:
+    """Wait for a run to end, raise what it raised, and return the rows it read."""
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
@@ -25,13 +25,13 @@ def _drained(query) -> int:
 def ingest(spark: SparkSession, landing: str, target: str, checkpoint: str, schema: StructType | str, fmt: str = "json", max_files: int = 1000) -> int:
     """Append files not seen before to a Parquet table and stop; returns the rows read."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt).load(landing)
-    return _drained(stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return drained(stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def ingest_each(spark: SparkSession, landing: str, checkpoint: str, schema: StructType | str, handle: Callable[[DataFrame, int], None], fmt: str = "json") -> int:
     """Hand each micro-batch to ``handle`` and stop; returns the rows read."""
     stream = spark.readStream.schema(schema).format(fmt).load(landing)
-    return _drained(stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return drained(stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def upsert_batches(table: SnapshotTable, keys: Sequence[str], recency: str, tie_breaker: str) -> Callable[[DataFrame, int], None]:
@@ -123,7 +123,3 @@ def poll(list_pending: Callable[[], list[str]], handle: Callable[[list[str]], No
             idle += 1
         wait()
     return idle
-
-
-def schema_json(schema: StructType) -> str:
-    return json.dumps(json.loads(schema.json()), sort_keys=True)

@@ -258,6 +258,22 @@ def test_rescued(spark):
     assert got[2][:2] == (None, None) and json.loads(got[2][2])["_line"] == "not json"
 
 
+def test_auto_load(spark, tmp_path):
+    land = tmp_path / "land"
+    run = lambda mode="addNewColumns": evolution.auto_load(spark, str(land), str(tmp_path / "t"), str(tmp_path / "check"), str(tmp_path / "schemas"), mode)
+    drop(land, "a.json", [{"id": 1, "price": 5}, {"id": 2, "price": 6}])
+    assert run() == 2 and run() == 0
+    drop(land, "b.json", [{"id": 3, "price": "six", "agent": "Z"}])
+    with pytest.raises(evolution.UnknownFieldError):
+        run()
+    assert run() == 1
+    drop(land, "c.json", [{"id": 4, "extra": 1}])
+    assert run("rescue") == 1
+    got = {r.id: r for r in layout.read_evolving(spark, str(tmp_path / "t")).collect()}
+    assert got[3].agent == "Z" and got[3].price is None and json.loads(got[3]["_rescued_data"])["price"] == "six"
+    assert json.loads(got[4]["_rescued_data"])["extra"] == "1" and got[1]["_rescued_data"] is None
+
+
 def test_events_and_polls(spark, tmp_path):
     event = {"detail": {"bucket": {"name": "b"}, "object": {"key": "incoming/x.json"}}}
     assert ingest.path_of_event(event, "b", "incoming/") == "s3://b/incoming/x.json" and ingest.path_of_event(event, "b", "other/") is None
@@ -313,6 +329,37 @@ def test_extraction_survives_faults(spark, tmp_path):
     assert run()["HELD"] == 1 and next(r["phase"] for r in store.rows("state") if r["table_id"] == 1) == "HELD"
 
 
+def test_retries_disabling_and_mass_failure(spark, tmp_path):
+    store = ControlStore(spark, str(tmp_path / "control"))
+    store.register([{"table_id": i, "source_schema": "s", "source_table": f"t{i}", "in_scope": True, "load_type": "FULL_REFRESH"} for i in range(1, 8)])
+    tries, waits, now = [], [], [datetime(2024, 5, 1)]
+
+    def clock():
+        now[0] += timedelta(seconds=1)
+        return now[0]
+
+    def run(hook):
+        return extract.Runner(store, lambda n: spark.range(2), str(tmp_path / "out"), clock, slots=1, fail=hook, wait=waits.append).run()
+
+    def flaky(step, table):
+        if step == "VERIFY" and table == 1:
+            tries.append(table)
+            if len(tries) < 3:
+                raise TimeoutError("slow store")
+
+    assert run(flaky)["SUCCEEDED"] == 7 and waits == [1, 2]
+    assert [x["attempt"] for x in store.rows("tasks") if x["table_id"] == 1] == [3] and sum(e["kind"] == "RETRY" for e in store.rows("events")) == 2
+
+    def broken(step, table):
+        if step == "VERIFY":
+            raise Broken(step)
+
+    first = run(broken)
+    assert first["FAILED"] == extract.MASS_LEAST and first["SKIPPED"] == 3 and first["status"] == "FAILED"
+    run(broken), run(broken)
+    assert {r["table_id"] for r in store.rows("config") if not r["enabled"]} == {1, 2, 3, 4}
+
+
 def test_control_rules(spark):
     with pytest.raises(ConstraintError):
         check_config([{"table_id": 1, "source_schema": "s", "source_table": "t", "in_scope": True, "load_type": "INCREMENTAL", "change_date_column": None}])
