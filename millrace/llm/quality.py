@@ -41,7 +41,7 @@ def _repeated(words: Column) -> Column:
     """Words in windows of WINDOW words that occur twice or more in the text."""
     n = F.size(words)
     starts = F.sequence(F.lit(1), n - (WINDOW - 1))
-    hashes = F.when(n > WINDOW, F.transform(starts, lambda i: F.xxhash64(*(F.element_at(words, i + k) for k in range(WINDOW)))))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*(F.element_at(words, i + k) for k in range(WINDOW))))
 
     def covered(at: Column) -> Column:
         # Repeated windows may overlap: each covers the words up to the next one's start.
@@ -56,19 +56,26 @@ def _repeated(words: Column) -> Column:
     # Equal windows have equal hashes; only texts with equal hashes compare the windows themselves.
     windows = F.sort_array(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i, WINDOW), " ").alias("w"), i.alias("i"))))
     exact = let(windows, lambda s: let(places(s), covered))
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), exact).otherwise(0))
+    again = F.when(n > WINDOW, F.size(F.array_distinct(hashes)) < n - (WINDOW - 1)).otherwise(False)
+    return F.when(again, exact).otherwise(0)
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter")
 
 
+def _without(text: Column, chars: str) -> Column:
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def _measures() -> dict[str, Column]:
     """Each measure as one expression over _text, _words and _lines."""
     words, lines, text = F.col("_words"), F.col("_lines"), F.col("_text")
     found = {
         "n_words": F.size(words),
-        "word_chars": F.length(F.translate(text, WS, "")),
-        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.octet_length(text) - F.octet_length(_without(text, SYMBOLS)),
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": _repeated(words),
@@ -80,7 +87,7 @@ def _measures() -> dict[str, Column]:
 def _cut(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     rest = [c for c in docs.columns if c not in (*MEASURES, "rejected_by", "_text", "_words", "_lines")]
     d = docs.select(*rest, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    return d.select("*", words_of(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n"), lambda x: F.octet_length(F.translate(x, WS, "")) > 0).alias("_lines")), rest
+    return d.select("*", words_of(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n"), lambda x: F.octet_length(F.btrim(x, F.lit(WS))) > 0).alias("_lines")), rest
 
 
 def measured(docs: DataFrame) -> DataFrame:
