@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, ship
 from .graph import components
 
 COSINE = 0.98
@@ -158,6 +158,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    ship(spark)
     source = vectors.select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(~bad, F.lit(False)) & F.coalesce(F.exists("v", lambda e: e != 0), F.lit(False))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 EMBED = 6
@@ -154,6 +156,8 @@ def identify(docs: DataFrame, model: ByteCnn | None, window: int = WINDOW, batch
     if model is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
+    ship(docs.sparkSession)
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             names, scores = [], []

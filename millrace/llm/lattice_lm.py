@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, ship
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Bound of the broadcast word table, and of the characters of a word in it.
@@ -292,6 +292,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int =
     empty: an end alone.  Every row gives a row, repeated doc_ids too.
     """
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce("train", F.lit(False)).alias("train"))
     counted = materialize(count_words(docs))
     n_words, n_types = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()

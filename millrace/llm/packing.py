@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ship
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -93,6 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
 
     Null text counts as empty: one piece that holds the end id alone.
     """
+    ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +185,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows get places of their own; an empty table gives an empty result.
     """
     spark = pieces.sparkSession
+    ship(spark)
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     order = [c for c in names if c != "ids"]
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import ship, words_of
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -152,6 +152,7 @@ def find_secrets(docs: DataFrame, detector: Detector, mask: str = "[SECRET]", wi
     ``with_text`` adds the text with each span replaced by ``mask`` and, unchanged,
     the other columns of ``docs``.  Null text has no spans and stays null.
     """
+    ship(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_assign", "n_access", "n_hex", "base", "spans")] if with_text else []
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *rest)
     found = ["n_assign", "n_access", "n_hex"]

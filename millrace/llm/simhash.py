@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, ship
 from .graph import components
 
 SHINGLE = 4
@@ -66,6 +66,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every whole text, in one pass."""
+    ship(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,6 +136,7 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
+    ship(fps.sparkSession)
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
