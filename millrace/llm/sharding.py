@@ -44,8 +44,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], bucket: Column, na
 
 
 def _bucket(total: int, values: int) -> Column:
-    """Bucket of a row where ranks are counted within ``values`` values: at most BUCKETS, and two a value, in all."""
-    n = min(BUCKETS, total // BUCKET_ROWS + 64) // values + 2
+    """Bucket of a row where ranks are counted within ``values`` values: at most BUCKETS, and eight a value, in all."""
+    n = min(BUCKETS, total // BUCKET_ROWS + 64) // values + 8
     return F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
 
 
