@@ -2,12 +2,12 @@
 
 Rows start dealt evenly over the shards.  Linked rows (those of equal text) then
 move towards the shard where most of their group is: in every round each wants to
-go to its group's fullest shard, and as many moves from shard i to shard j are
-accepted as there are rows that may go from j to i in return: rows of j that want
-to go to i, and rows without links, which cost no cut edge wherever they lie.  So
-every round keeps the number of rows of each shard, and the counts stay at most
-one apart.  A group that no shard could hold is split into parts of at most half
-a shard first, each of which gathers by itself.
+go to the fullest shard of its group that can still take rows, and as many moves
+from shard i to shard j are accepted as there are rows that may go from j to i in
+return: rows of j that want to go to i, and rows without links, which cost no cut
+edge wherever they lie.  So every round keeps the number of rows of each shard, and
+the counts stay at most one apart.  A group that no shard could hold is split into
+parts of about a shard first, each of which gathers by itself.
 
 Ranks within a large set are taken in hash buckets, with the buckets' offsets
 added, so that no task sorts a whole shard.
@@ -62,16 +62,22 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def _moves(now: DataFrame, linked: DataFrame, total: int, shards: int) -> DataFrame:
     """Accepted moves (row, to) of one round."""
-    inside = linked.groupBy("part", "shard").agg(F.count("*").alias("n"))
-    goal = inside.groupBy("part").agg(F.max_by("shard", F.struct("n", F.xxhash64("part", "shard"))).alias("to"))
-    wants = linked.join(goal, "part").where("shard <> to").select("row", "shard", "to")
+    free = now.where("part IS NULL").groupBy("shard").agg(F.count("*").alias("free"))
+    # One row a shard: how many rows without links it could give away.
+    inside = linked.groupBy("part", "shard").agg(F.count("*").alias("n")).join(F.broadcast(free), "shard", "left")
+    inside = materialize(inside.withColumn("rank", F.struct("n", F.xxhash64("part", "shard"))))
+    # The fullest shard of each part, among those that can still take rows if there are any.
+    open_ = F.when(F.col("free") > 0, F.col("rank"))
+    goal = inside.groupBy("part").agg(F.coalesce(F.max_by("shard", open_), F.max_by("shard", "rank")).alias("to"), F.coalesce(F.max(open_), F.max("rank")).alias("best"))
+    # A written table, so that the join below is of two plain shuffles, which Spark can split where a part is large.
+    goal = materialize(inside.join(goal, "part").where("rank < best").select("part", "shard", "to"))
+    wants = linked.join(goal, ["part", "shard"]).select("row", "shard", "to")
     wants = ranked(wants, ["shard", "to"], [F.col("row")], _bucket(total, shards * shards), "rank")
     wish = wants.groupBy("shard", "to").agg(F.count("*").alias("n"))
     back = wish.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("n").alias("back"))
     pairs = wish.join(back, ["shard", "to"], "left").select("shard", "to", "n", F.coalesce("back", F.lit(0)).alias("back"))
     # Rows without links fill what wishes in return do not; shard ``to`` lends them, in order of ``shard``.
-    free = now.where("part IS NULL").groupBy("shard").agg(F.count("*").alias("free")).withColumnRenamed("shard", "to")
-    pairs = pairs.join(free, "to", "left").withColumn("lack", F.greatest(F.col("n") - F.col("back"), F.lit(0)))
+    pairs = pairs.join(free.withColumnRenamed("shard", "to"), "to", "left").withColumn("lack", F.greatest(F.col("n") - F.col("back"), F.lit(0)))
     before = F.coalesce(F.sum("lack").over(Window.partitionBy("to").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pairs = pairs.withColumn("before", before).withColumn("lent", F.greatest(F.least(F.col("lack"), F.coalesce("free", F.lit(0)) - F.col("before")), F.lit(0)))
     pairs = pairs.withColumn("quota", F.least(F.col("n"), F.col("back")) + F.col("lent"))
@@ -92,10 +98,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     """
     rows = materialize(sized(docs))
     total = rows.count()
-    most = max(1, total // shards // 2)
+    most = max(1, total // shards)
     # A written table, so that the join below is of two plain shuffles, which Spark can split where a key is hot.
     groups = materialize(rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    # Each row of a group beyond half a shard takes one of its parts.
+    # Each row of a group beyond a shard takes one of its parts.
     parts = F.ceil(F.col("n") / most).cast("int")
     part = F.when(F.col("n").isNotNull(), F.struct("key", F.pmod(F.xxhash64("row"), parts).alias("i")))
     start = rows.select("row", "key").join(groups, "key", "left").select("row", part.alias("part"))
