@@ -105,8 +105,8 @@ STEMS = ("licen", "copyright", "permission", "redistribut")
 #: A paragraph ends at a blank line, or at a line break after the end of a sentence.
 BREAK = r"\n[ \t\r]*\n|(?<=[.!?:;])[ \t\r]*\n"
 COPIES = 10
-STEPS = 30
-RATE = 6.0
+STEPS = 15
+RATE = 12.0
 DECAY = 1e-4
 #: Bound of the corpus paragraphs in the training set.
 SAMPLE_PARAGRAPHS = 400
