@@ -37,6 +37,16 @@ def test_windows_cover_every_byte():
         assert int((w < 256).sum()) == n and s.sum() == max(1, n)
 
 
+def test_repetition_speaks_once():
+    rng = np.random.default_rng(0)
+    prose = bytes(rng.integers(97, 123, 1024).astype(np.uint8))
+    raw = prose + b"the same again. " * 128
+    sizes = li.windows_of(raw)[1]
+    weights = li.novelty(raw, sizes)
+    assert (weights > 0).all() and (weights <= sizes).all() and weights[:4].sum() > 5 * weights[5:].sum()
+    assert (li.novelty(prose, li.windows_of(prose)[1]) == 256).all() and (li.novelty(b"ab", np.array([2.0])) == 2).all()
+
+
 def test_odd_rows(spark):
     d = odd(spark)
     model = li.train(d)
