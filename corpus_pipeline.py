@@ -23,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays.
 
-    Rows that repeat that doc_id are one document: one of them stays.
+    Rows that repeat that doc_id are one document: one of them stays.  A row without
+    doc_id cannot be named as the one that stays, and goes.
     """
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
