@@ -10,8 +10,8 @@ probability passes a threshold and a comparison with its notices confirms it (th
 share of a notice's 3-grams that the paragraph holds); otherwise the paragraph is
 ``unknown``.
 
-Only paragraphs that hold one of ``STEMS`` are classified; every notice does, and
-a paragraph without any is ``none``.
+Every paragraph is classified.  Words that no notice has are taken out first, which
+leaves the grams that carry weight as they are.
 """
 
 from __future__ import annotations
@@ -101,6 +101,7 @@ ORDINARY = [
     "Her poetic license made the story longer than it was.",
     "The Apache helicopter landed near the MIT campus.",
 ]
+#: Corpus paragraphs with one of these are no examples of ``none``.
 STEMS = ("licen", "copyright", "permission", "redistribut")
 #: A paragraph ends at a blank line, or at a line break after the end of a sentence.
 BREAK = r"\n[ \t\r]*\n|(?<=[.!?:;])[ \t\r]*\n"
@@ -114,15 +115,33 @@ MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.6
 
 
+GAP = "|"
+
+
+def words_in(text: Column) -> Column:
+    """Words of a paragraph, in lower case and without punctuation."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9.+]+|[.](?![0-9])", " "), " "), "")
+
+
+def known_words(words: Column, known: list[str]) -> Column:
+    """The words that are known; GAP stands for each run of others behind one, so that the known grams stay what they are."""
+    marked = F.transform(words, lambda w: F.when(w.isin(known), w).otherwise(GAP))
+    return let(marked, lambda m: F.filter(m, lambda w, i: (w != GAP) | (F.coalesce(F.get(m, i - 1), F.lit(GAP)) != GAP)))
+
+
 def grams(text: Column) -> Column:
-    """Distinct word 1- to 3-grams of a paragraph, in lower case and without punctuation."""
+    """Distinct word 1- to 3-grams of a paragraph."""
+    return grams_of(words_in(text))
+
+
+def grams_of(words: Column) -> Column:
+    """Distinct 1- to 3-grams of words."""
     none = F.array().cast("array<string>")
 
     def of(words: Column, n: int) -> Column:
         return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
 
-    split = F.array_remove(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9.+]+|[.](?![0-9])", " "), " "), "")
-    return let(split, lambda w: F.array_distinct(F.concat(of(w, 1), of(w, 2), of(w, 3))))
+    return let(words, lambda w: F.array_distinct(F.concat(of(w, 1), of(w, 2), of(w, 3))))
 
 
 def _literal(value: object, schema: str) -> Column:
@@ -172,6 +191,16 @@ def examples(ordinary: list[str], seed: int = 13) -> list[dict]:
     return rows
 
 
+def shapes_of(spark: SparkSession) -> dict[str, list[list[str]]]:
+    """What a paragraph is compared with: the 3-grams of each notice of the known families (all its grams if it has none)."""
+    notices = _table(spark, [{"f": f, "text": t} for f, ts in NOTICES.items() if f != UNKNOWN for t in ts], "f string, text string")
+    tri = F.filter(grams(F.col("text")), lambda g: F.size(F.split(g, " ")) >= 3)
+    shapes: dict[str, list[list[str]]] = {}
+    for r in notices.select("f", F.when(F.size(tri) > 0, tri).otherwise(grams(F.col("text"))).alias("t")).collect():
+        shapes.setdefault(r["f"], []).append(r["t"])
+    return shapes
+
+
 def train(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, steps: int = STEPS) -> Model:
     """Fit the classifier; at most ``sample`` corpus paragraphs without a stem join the ordinary ones."""
     spark = docs.sparkSession
@@ -180,7 +209,10 @@ def train(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, steps: int = STEPS)
     share = max(1, min(1_000_000, sample * 1_000_000 // max(1, total)))
     text = F.col("text").cast("string")
     part = docs.where(text.isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)).select(F.element_at(F.split(text, BREAK), -1).alias("text"))
-    corpus = sorted(r[0] for r in part.where(~_has_stem(F.col("text"))).limit(sample).collect())
+    # Nor are paragraphs that compare with a notice, whatever their words.
+    templates = _literal([t for ts in shapes_of(spark).values() for t in ts], "array<array<string>>")
+    alike = let(grams(F.col("text")), lambda g: F.exists(templates, lambda t: F.size(F.array_intersect(t, g)) >= MIN_OVERLAP * F.size(t)))
+    corpus = sorted(r[0] for r in part.where(~_has_stem(F.col("text")) & ~alike).limit(sample).collect())
     rows = _table(spark, examples(ORDINARY + corpus), "text string, y string, held boolean")
     known = _table(spark, [{"text": t} for f in NOTICES.values() for t in f], "text string").select(F.explode(grams(F.col("text"))).alias("g")).distinct()
     vocabulary = sorted(r[0] for r in known.collect())
@@ -229,11 +261,9 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     equal results; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    notices = _table(spark, [{"f": f, "text": t} for f, ts in NOTICES.items() if f != UNKNOWN for t in ts], "f string, text string")
-    tri = F.filter(grams(F.col("text")), lambda g: F.size(F.split(g, " ")) >= 3)
-    shapes: dict[str, list[list[str]]] = {}
-    for r in notices.select("f", F.when(F.size(tri) > 0, tri).otherwise(grams(F.col("text"))).alias("t")).collect():
-        shapes.setdefault(r["f"], []).append(r["t"])
+    shapes = shapes_of(spark)
+    vocabulary = sorted(model.weights)
+    known = sorted({w for g in [*vocabulary, *(g for ts in shapes.values() for t in ts for g in t)] for w in g.split(" ")})
     names = [c for c in docs.columns if c not in ("licences", "_text")]
     weights, notices_of = _literal(model.weights, "map<string,array<double>>"), _literal(shapes, "map<string,array<array<string>>>")
     labels = F.array(*map(F.lit, model.classes))
@@ -245,13 +275,11 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             overlap = lambda b: F.coalesce(F.array_max(F.transform(F.element_at(notices_of, b), lambda t: F.size(F.array_intersect(t, g)) / F.size(t))), F.lit(0.0))
             return let(F.struct(best.alias("best"), probability.alias("probability")), lambda c: F.struct(i.alias("paragraph"), p.alias("text"), c["best"].alias("best"), c["probability"].alias("probability"), overlap(c["best"]).alias("overlap")))
 
-        return let(grams(p), lambda g: let(_logits(g, weights, model.bias), lambda z: with_class(g, z)))
+        found = lambda g: F.filter(g, lambda x: x.isin(vocabulary))
+        return let(let(grams_of(known_words(words_in(p), known)), found), lambda g: let(_logits(g, weights, model.bias), lambda z: with_class(g, z)))
 
-    # Only texts with a stem are cut into paragraphs, and only paragraphs with one are judged.
-    text = F.col("_text")
-    cut = F.filter(F.transform(F.split(text, BREAK), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: _has_stem(x["p"]))
-    found = F.filter(F.transform(cut, lambda x: judged(x["p"], x["i"])), lambda x: x["best"] != NONE)
+    found = F.filter(F.transform(F.split(F.col("_text"), BREAK), judged), lambda x: x["best"] != NONE)
     sure = lambda x: (x["probability"] >= MIN_PROBABILITY) & (x["overlap"] >= MIN_OVERLAP)
     named = F.transform(found, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["text"].alias("text"), F.when(sure(x), x["best"]).otherwise(UNKNOWN).alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap")))
     empty = F.array().cast("array<struct<paragraph:int,text:string,family:string,probability:double,overlap:double>>")
-    return docs.select(*names, F.col("text").cast("string").alias("_text")).select(*names, F.coalesce(F.when(_has_stem(text), named), empty).alias("licences"))
+    return docs.select(*names, F.col("text").cast("string").alias("_text")).select(*names, F.coalesce(named, empty).alias("licences"))

@@ -50,3 +50,9 @@ def test_odd_rows(spark, model):
     assert len(rows) == d.count() and [x.family for r in rows for x in r.licences] == ["MIT"]
     assert lc.scan(d.where("false"), model).count() == 0
     assert lc.train(d.where("false"), steps=2).classes[-1] == lc.NONE
+
+
+def test_notices_without_a_stem(spark, model):
+    texts = ["Available under CC BY-SA 4.0.", "Available under CC BY 4.0.", "Text under CC BY-NC 4.0, ask for more."]
+    assert not any(s in t.lower() for t in texts for s in lc.STEMS)
+    assert families(spark, model, texts) == [["CC-BY-SA"], ["CC-BY"], ["CC-BY-NC"]]
