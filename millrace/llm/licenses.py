@@ -10,6 +10,11 @@ probability passes a threshold and a comparison with its notices confirms it (th
 share of a notice's 3-grams that the paragraph holds); otherwise the paragraph is
 ``unknown``.
 
+A paragraph may hold several notices, or one amid much text.  So the words near the
+3-grams of notices are judged apart as well: the best class is taken, its grams go,
+and the rest is judged again, as long as any are left.  Every family counts that
+passes both tests, the comparison by grams of its own.
+
 Every paragraph is classified.  Words that no notice has are taken out first, which
 leaves the grams that carry weight as they are.
 """
@@ -19,6 +24,7 @@ from __future__ import annotations
 import json
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,6 +92,18 @@ NOTICES: dict[str, list[str]] = {
         "This document is licensed under the terms described below.",
     ],
 }
+#: Short names that a notice beside another may be left with; paragraphs are compared with them too.
+NAMES: dict[str, list[str]] = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"],
+    "BSD": ["BSD License", "BSD-3-Clause", "3-Clause BSD License"],
+    "CC-BY": ["CC BY 4.0", "Creative Commons Attribution 4.0"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0"],
+    "GPL": ["GNU General Public License", "GPL-3.0-or-later"],
+    "LGPL": ["GNU Lesser General Public License", "LGPL-3.0-or-later"],
+    "MIT": ["MIT License", "License-Identifier: MIT", "MIT OR", "OR MIT"],
+    "MPL-2.0": ["Mozilla Public License", "MPL-2.0"],
+}
 #: Ordinary sentences that hold words of the notices.
 ORDINARY = [
     "She got her driving license in the spring and drove to the coast.",
@@ -113,6 +131,8 @@ DECAY = 1e-4
 SAMPLE_PARAGRAPHS = 400
 MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.6
+#: Words around the 3-grams of notices that are judged with them.
+NEAR = 3
 
 
 GAP = "|"
@@ -192,11 +212,11 @@ def examples(ordinary: list[str], seed: int = 13) -> list[dict]:
 
 
 def shapes_of(spark: SparkSession) -> dict[str, list[list[str]]]:
-    """What a paragraph is compared with: the 3-grams of each notice of the known families (all its grams if it has none)."""
-    notices = _table(spark, [{"f": f, "text": t} for f, ts in NOTICES.items() if f != UNKNOWN for t in ts], "f string, text string")
-    tri = F.filter(grams(F.col("text")), lambda g: F.size(F.split(g, " ")) >= 3)
+    """What a paragraph is compared with: the 3-grams of each notice and name (its 2-gram if it has two words)."""
+    notices = _table(spark, [{"f": f, "text": t} for f, ts in NOTICES.items() for t in [*ts, *NAMES.get(f, [])]], "f string, text string")
+    most = lambda gs: F.filter(gs, lambda g: F.size(F.split(g, " ")) == F.array_max(F.transform(gs, lambda x: F.size(F.split(x, " ")))))
     shapes: dict[str, list[list[str]]] = {}
-    for r in notices.select("f", F.when(F.size(tri) > 0, tri).otherwise(grams(F.col("text"))).alias("t")).collect():
+    for r in notices.select("f", most(grams(F.col("text"))).alias("t")).collect():
         shapes.setdefault(r["f"], []).append(r["t"])
     return shapes
 
@@ -256,30 +276,83 @@ def _has_stem(text: Column) -> Column:
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Add licences: array of (paragraph, text, family, probability, overlap) of each whole text.
 
-    family is a known one or ``unknown``; paragraphs of class ``none`` are left out.
+    family is a known one or ``unknown``; a paragraph with several has one entry for
+    each, and paragraphs of class ``none`` are left out.
     Null text has none.  A column named licences is replaced; repeated rows get
     equal results; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shapes = shapes_of(spark)
-    vocabulary = sorted(model.weights)
-    known = sorted({w for g in [*vocabulary, *(g for ts in shapes.values() for t in ts for g in t)] for w in g.split(" ")})
+    # The grams of each family, of all, and those whose surroundings are judged apart.
+    rows = _table(spark, [{"f": f, "text": t} for f, ts in NOTICES.items() for t in [*ts, *NAMES.get(f, [])]], "f string, text string")
+    own = {r["f"]: r["g"] for r in rows.select("f", F.explode(grams(F.col("text"))).alias("g")).groupBy("f").agg(F.collect_set("g").alias("g")).collect()}
+    vocabulary = sorted({g for gs in own.values() for g in gs}.union(model.weights))
+    known = sorted({w for g in vocabulary for w in g.split(" ")})
+    places = sorted({g for ts in shapes.values() for t in ts for g in t if g.count(" ") == 2 or (g.count(" ") == 1 and g.endswith(" license"))})
     names = [c for c in docs.columns if c not in ("licences", "_text")]
-    weights, notices_of = _literal(model.weights, "map<string,array<double>>"), _literal(shapes, "map<string,array<array<string>>>")
+    weights, notices_of, grams_of_family = _literal(model.weights, "map<string,array<double>>"), _literal(shapes, "map<string,array<array<string>>>"), _literal(own, "map<string,array<string>>")
     labels = F.array(*map(F.lit, model.classes))
 
+    def best_of(g: Column, then: Callable[[Column, Column], Column], licensed: Column | None = None) -> Column:
+        """``then`` of the best class of grams and its probability; ``none`` is left out where ``licensed`` holds."""
+        last = len(model.classes) - 1
+        score = lambda z: z if licensed is None else F.transform(z, lambda x, k: F.when(licensed & (k == last), -1e9).otherwise(x))
+        probability = lambda z: F.array_max(_softmax(F.transform(z, lambda x: x / model.temperature)))
+        best = lambda z: F.element_at(labels, F.array_position(z, F.array_max(z)).cast("int"))
+        return let(let(score(_logits(g, weights, model.bias)), lambda z: F.struct(best(z).alias("best"), probability(z).alias("probability"))), lambda c: then(c["best"], c["probability"]))
+
+    def overlap(family: Column, g: Column, left: Column | None = None) -> Column:
+        """Largest share of a notice that the grams hold; of notices with a gram in ``left`` only, if given."""
+        of = F.element_at(notices_of, family)
+        if left is not None:
+            of = F.filter(of, lambda t: F.arrays_overlap(t, left))
+        return F.coalesce(F.array_max(F.transform(of, lambda t: F.size(F.array_intersect(t, g)) / F.size(t))), F.lit(0.0))
+
+    def sure(x: Column) -> Column:
+        return (x["probability"] >= MIN_PROBABILITY) & (x["overlap"] >= MIN_OVERLAP)
+
+    entry = "struct<family:string,probability:double,overlap:double>"
+    found = lambda words: F.filter(grams_of(words), lambda x: x.isin(vocabulary))
+
+    def whole(words: Column) -> Column:
+        """The verdict on all of a paragraph: an array of one family, or none."""
+        def named(best: Column, probability: Column, g: Column) -> Column:
+            one = lambda o: F.struct(F.when((best != UNKNOWN) & (probability >= MIN_PROBABILITY) & (o >= MIN_OVERLAP), best).otherwise(UNKNOWN).alias("family"), probability.alias("probability"), o.alias("overlap"))
+            return F.when(best == NONE, F.array().cast(f"array<{entry}>")).otherwise(F.array(let(F.when(best == UNKNOWN, 0.0).otherwise(overlap(best, g)), one).cast(entry)))
+
+        return let(found(words), lambda g: best_of(g, lambda b, p: named(b, p, g)))
+
+    def apart(words: Column) -> Column:
+        """All families that the words near notices' 3-grams confirm, one after another."""
+        starts = F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, 3), " ").isin(places) | F.array_join(F.slice(words, i + 1, 2), " ").isin(places))
+        near = lambda h: F.transform(words, lambda w, i: F.when(F.exists(F.slice(h, F.greatest(i - NEAR - 1, F.lit(1)), 2 * NEAR + 3), lambda x: x), w).otherwise(GAP))
+
+        def peeled(g: Column) -> Column:
+            # What is left beside a notice is too little to weigh against ``none``, so only the first step does.
+            def step(s: Column, i: Column) -> Column:
+                def after(best: Column, probability: Column) -> Column:
+                    got = F.struct(best.alias("family"), probability.alias("probability"), overlap(best, g, s["left"]).alias("overlap")).cast(entry)
+                    rest = F.when(best == NONE, F.array().cast("array<string>")).otherwise(F.array_except(s["left"], F.element_at(grams_of_family, best)))
+                    out = let(got, lambda x: F.when((best != NONE) & sure(x), F.array_append(s["out"], x)).otherwise(s["out"]))
+                    return F.struct(rest.alias("left"), out.alias("out"))
+
+                return F.when(F.size(s["left"]) > 0, best_of(s["left"], after, i > 1)).otherwise(s)
+
+            first = F.struct(g.alias("left"), F.array().cast(f"array<{entry}>").alias("out"))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(len(model.classes))), first, step)["out"]
+
+        none = F.array().cast(f"array<{entry}>")
+        return let(starts, lambda h: F.when(F.exists(h, lambda x: x), let(found(near(h)), peeled)).otherwise(none))
+
     def judged(p: Column, i: Column) -> Column:
-        def with_class(g: Column, z: Column) -> Column:
-            probability = F.array_max(_softmax(F.transform(z, lambda x: x / model.temperature)))
-            best = F.element_at(labels, F.array_position(z, F.array_max(z)).cast("int"))
-            overlap = lambda b: F.coalesce(F.array_max(F.transform(F.element_at(notices_of, b), lambda t: F.size(F.array_intersect(t, g)) / F.size(t))), F.lit(0.0))
-            return let(F.struct(best.alias("best"), probability.alias("probability")), lambda c: F.struct(i.alias("paragraph"), p.alias("text"), c["best"].alias("best"), c["probability"].alias("probability"), overlap(c["best"]).alias("overlap")))
-
-        found = lambda g: F.filter(g, lambda x: x.isin(vocabulary))
-        return let(let(grams_of(known_words(words_in(p), known)), found), lambda g: let(_logits(g, weights, model.bias), lambda z: with_class(g, z)))
-
-    found = F.filter(F.transform(F.split(F.col("_text"), BREAK), judged), lambda x: x["best"] != NONE)
-    sure = lambda x: (x["probability"] >= MIN_PROBABILITY) & (x["overlap"] >= MIN_OVERLAP)
-    named = F.transform(found, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["text"].alias("text"), F.when(sure(x), x["best"]).otherwise(UNKNOWN).alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap")))
+        """What a paragraph holds.  Families confirmed apart come first; without any the verdict on the whole stands."""
+        def both(one: Column, many: Column) -> Column:
+            more = F.filter(one, lambda x: (F.size(many) == 0) | ((x["family"] != UNKNOWN) & ~F.exists(many, lambda y: y["family"] == x["family"])))
+            return F.concat(many, more)
+
+        of = lambda words: let(whole(words), lambda one: let(apart(words), lambda many: both(one, many)))
+        return F.transform(let(known_words(words_in(p), known), of), lambda x: F.struct(i.alias("paragraph"), p.alias("text"), x["family"].alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap")))
+
+    named = F.flatten(F.transform(F.split(F.col("_text"), BREAK), judged))
     empty = F.array().cast("array<struct<paragraph:int,text:string,family:string,probability:double,overlap:double>>")
     return docs.select(*names, F.col("text").cast("string").alias("_text")).select(*names, F.coalesce(named, empty).alias("licences"))

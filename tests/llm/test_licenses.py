@@ -56,3 +56,26 @@ def test_notices_without_a_stem(spark, model):
     texts = ["Available under CC BY-SA 4.0.", "Available under CC BY 4.0.", "Text under CC BY-NC 4.0, ask for more."]
     assert not any(s in t.lower() for t in texts for s in lc.STEMS)
     assert families(spark, model, texts) == [["CC-BY-SA"], ["CC-BY"], ["CC-BY-NC"]]
+
+
+def test_several_licences_in_a_paragraph(spark, model):
+    given = {
+        "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0": {"MIT", "Apache-2.0"},
+        "SPDX-License-Identifier: Apache-2.0 OR MIT": {"MIT", "Apache-2.0"},
+        "Released under the MIT License\nLicensed under CC BY-NC 4.0": {"MIT", "CC-BY-NC"},
+        "Licensed under either of the Apache License, Version 2.0 or the MIT License.": {"MIT", "Apache-2.0"},
+        "Text under CC BY 4.0, images under CC BY-NC 4.0.": {"CC-BY", "CC-BY-NC"},
+        "Licensed under CC BY-NC 4.0.": {"CC-BY-NC"},
+        "SPDX-License-Identifier: LGPL-3.0-or-later": {"LGPL"},
+    }
+    got = families(spark, model, list(given))
+    assert [set(g) for g in got] == list(given.values()) and all(len(g) == len(set(g)) for g in got)
+
+
+def test_notices_amid_many_words(spark, model):
+    rng = random.Random(3)
+    words = [w for r in documents(spark).select("text").collect() for w in (r.text or "").split()]
+    given = [(f, t) for f, ts in lc.NOTICES.items() if f != lc.UNKNOWN for t in ts]
+    for n in (100, 500):
+        got = families(spark, model, [" ".join([*rng.choices(words, k=n), t, *rng.choices(words, k=n)]) for _, t in given])
+        assert [g for g, (f, _) in zip(got, given, strict=True) if f not in g] == []
