@@ -13,6 +13,7 @@ among the pieces of equal length.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,9 @@ PART_PIECES = 50_000
 LEAST_PARTS, MOST_PARTS = 8, 1024
 #: The public pre-tokenisation pattern of this byte-level BPE vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: ``tiktoken`` panics on runs of white space of about a million characters; texts with a run of this many are left to ``tokenizers``.
+LONG_RUN = 100_000
+_RUN = re.compile(r"\s+")
 _PROBE = "It's  a\t\n test, of 1234 ids\r\néß 你好 <|endoftext|> \U0001f600x"
 _encoders: dict = {}
 
@@ -47,7 +51,8 @@ def encoder(path: str = TOKENIZER):
 
     The vocabulary of that file runs in ``tiktoken``, which gives the same ids
     four times faster; a probe is compared when the file is loaded, and on any
-    difference ``tokenizers`` itself encodes.
+    difference ``tokenizers`` itself encodes, as it does texts with a very long run
+    of white space.
     """
     if path in _encoders:
         return _encoders[path]
@@ -72,7 +77,7 @@ def encoder(path: str = TOKENIZER):
         fast = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def by_ranks(texts: list[str]) -> list[list[int]]:
-            return [fast.encode_ordinary(t) for t in texts]
+            return [by_tokenizers([t])[0] if len(t) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _RUN.finditer(t)) else fast.encode_ordinary(t) for t in texts]
 
         if by_ranks([_PROBE]) == by_tokenizers([_PROBE]):
             out = by_ranks

@@ -76,3 +76,12 @@ def test_odd_rows(spark):
 
 def test_cut():
     assert packing.cut(2048, 2048) == [(0, 2048)] and packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
+
+
+def test_very_long_runs_of_white_space():
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
+    slow.encode_special_tokens = True
+    for text in ("a" + " " * 1_000_100 + "b", "a" + "\n\u3000" * 600_000):
+        assert packing.encoder()([text]) == [slow.encode(text, add_special_tokens=False).ids]
