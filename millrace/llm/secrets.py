@@ -5,11 +5,13 @@ identifiers, are trained from labelled samples: random strings come from a
 seeded generator over the usual key alphabets, identifiers from a bounded sample
 of words of the corpus in which no base pattern matches, cut and joined as code
 does it.  A token is reported if its mean log-likelihood ratio a character passes
-a threshold that no identifier of a held-back part of the sample passes.
+a threshold that no identifier of about its length in a held-back part of the
+sample passes.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -29,8 +31,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A text without one of these cannot match ``ASSIGN``.
 _HINTS = ("passw", "secret", "token", "api_key", "apikey")
-#: Tokens that the models judge: at least MIN_TOKEN characters, with a digit and a letter.
-MIN_TOKEN = 20
+#: Tokens that the models judge: at least MIN_TOKEN characters, as the random strings of the training have, with a letter.
+MIN_TOKEN = 16
+#: Least lengths of the classes of tokens that have a threshold each.
+LENGTHS = (16, 20, 24, 32)
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
 CHARS = string.ascii_letters + string.digits + "+/_=-"
 #: Documents of the bounded sample that the identifier model learns from.
@@ -75,8 +79,12 @@ class Detector:
         held = ordinary[::5]
         kept = [s for i, s in enumerate(ordinary) if i % 5]
         self.ratio_of = Markov(randoms).log - Markov(kept).log
-        top = max((self.ratio(s) for s in held if len(s) >= MIN_TOKEN), default=min_ratio)
-        self.threshold = max(min_ratio, min(top + 0.05, 1.2))
+        tops = [min_ratio - 0.05] * len(LENGTHS)
+        for s in held:
+            if len(s) >= MIN_TOKEN:
+                k = bisect.bisect_right(LENGTHS, len(s)) - 1
+                tops[k] = max(tops[k], self.ratio(s))
+        self.thresholds = [max(min_ratio, min(top + 0.05, 1.2)) for top in tops]
 
     def ratio(self, token: str) -> float:
         at = _INDEX[np.frombuffer(token.encode("ascii"), dtype=np.uint8)]
@@ -87,11 +95,11 @@ class Detector:
         out = []
         for m in TOKEN.finditer(text):
             token = m[0]
-            if token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
+            if not any(c.isalpha() for c in token):
                 continue
             if any(s <= m.start() and m.end() <= e for s, e, _ in base):
                 continue
-            if self.ratio(token) > self.threshold:
+            if self.ratio(token) > self.thresholds[bisect.bisect_right(LENGTHS, len(token)) - 1]:
                 out.append((m.start(), m.end(), "random"))
         return out
 

@@ -55,3 +55,12 @@ def test_odd_rows_and_masks(spark):
     assert (by[10]["n_assign"], by[10]["n_access"], by[10]["n_hex"]) == (1, 1, 1)
     assert secrets.find_secrets(d.where("false"), secrets.train(d.where("false"))).count() == 0
     assert secrets.masked("abcdef", [(0, 3, "hex"), (2, 5, "hex")], "#") == "#f"
+
+
+def test_short_and_letters_only_random_strings():
+    rng = random.Random(5)
+    plain = ["".join(rng.choices(["tion", "er", "the", "ing", "an", "re"], k=3)) for _ in range(5000)]
+    found = secrets.Detector(secrets.random_strings(), secrets.identifiers(plain))
+    for alphabet, n in ((string.ascii_letters + string.digits, 16), (string.ascii_letters, 32)):
+        fresh = ["".join(rng.choices(alphabet, k=n)) for _ in range(300)]
+        assert sum(found.spans(f"some {x} text", []) == [(5, 5 + n, "random")] for x in fresh) >= 285
