@@ -26,15 +26,15 @@ from .common import materialize, ship
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
-#: Ranks are counted in parts of about this many pieces a length, so that no length is hot; and bounds of the parts of a length.
+#: Ranks are counted in parts of about this many pieces a length, so that no length is hot; and the least parts of a length.
 PART_PIECES = 50_000
-LEAST_PARTS, MOST_PARTS = 8, 1024
+LEAST_PARTS = 8
 #: The public pre-tokenisation pattern of this byte-level BPE vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: ``tiktoken`` panics on runs of white space of about a million characters; texts with a run of this many are left to ``tokenizers``.
 LONG_RUN = 100_000
 _RUN = re.compile(r"\s+")
-_PROBE = "It's  a\t\n test, of 1234 ids\r\néß 你好 <|endoftext|> \U0001f600x"
+_PROBE = "It's  a\t\n test, of 1234 ids\r\néß 你好 <|x|> \U0001f600x"
 _encoders: dict = {}
 
 
@@ -51,8 +51,8 @@ def encoder(path: str = TOKENIZER):
 
     The vocabulary of that file runs in ``tiktoken``, which gives the same ids
     four times faster; a probe is compared when the file is loaded, and on any
-    difference ``tokenizers`` itself encodes, as it does texts with a very long run
-    of white space.
+    difference ``tokenizers`` itself encodes, as it does texts that hold one of the
+    file's added tokens (such as ``<|endoftext|>``) or a very long run of white space.
     """
     if path in _encoders:
         return _encoders[path]
@@ -61,7 +61,6 @@ def encoder(path: str = TOKENIZER):
 
     where = tokenizer_path(path)
     slow = Tokenizer.from_file(where)
-    slow.encode_special_tokens = True
 
     def by_tokenizers(texts: list[str]) -> list[list[int]]:
         return [slow.encode(t, add_special_tokens=False).ids for t in texts]
@@ -70,14 +69,18 @@ def encoder(path: str = TOKENIZER):
     chars = {chr(b): b for b in visible}
     chars |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
     with open(where, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    ranks = {bytes(chars[c] for c in k): v for k, v in vocab.items() if all(c in chars for c in k) and not k.startswith("<|")}
+        spec = json.load(f)
+    added = [t["content"] for t in spec.get("added_tokens") or []]
+    ranks = {bytes(chars[c] for c in k): v for k, v in spec["model"]["vocab"].items() if all(c in chars for c in k) and k not in added}
     out = by_tokenizers
     if len({len(r) == 1 and r for r in ranks}) == 257:  # every byte has a rank
         fast = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+        def left(t: str) -> bool:
+            return any(a in t for a in added) or (len(t) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _RUN.finditer(t)))
+
         def by_ranks(texts: list[str]) -> list[list[int]]:
-            return [by_tokenizers([t])[0] if len(t) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _RUN.finditer(t)) else fast.encode_ordinary(t) for t in texts]
+            return [by_tokenizers([t])[0] if left(t) else fast.encode_ordinary(t) for t in texts]
 
         if by_ranks([_PROBE]) == by_tokenizers([_PROBE]):
             out = by_ranks
@@ -186,22 +189,25 @@ def slots(plan: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarray
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a table of pieces (column ``length``).
 
-    ``pieces`` must be stable between reads, as a written table is.  Repeated
-    rows get places of their own; an empty table gives an empty result.
+    ``pieces`` must be stable between reads, as a written table is.  Pieces as long
+    as a sequence are one each, with a negative number, and cross no shuffle.
+    Repeated rows get places of their own; an empty table gives an empty result.
     """
     spark = pieces.sparkSession
     ship(spark)
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     order = [c for c in names if c != "ids"]
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    full = pieces.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") != capacity)
+    counts = {r[0]: r[1] for r in rest.groupBy("length").count().collect()}
     table = spark.sparkContext.broadcast(slots(plan_bins(counts, capacity)))
-    parts = [min(MOST_PARTS, max(LEAST_PARTS, -(-counts.get(k + 1, 0) // PART_PIECES))) for k in range(capacity)]
-    salted = pieces.select(*names, F.pmod(F.xxhash64(*order), F.element_at(F.lit(parts), F.col("length").cast("int"))).cast("int").alias("_salt"))
-    # At most capacity * MOST_PARTS rows, and of those one for PART_PIECES pieces beyond the first; so this side may be broadcast.
+    parts = [max(LEAST_PARTS, -(-counts.get(k + 1, 0) // PART_PIECES)) for k in range(capacity)]
+    salted = rest.select(*names, F.pmod(F.xxhash64(*order), F.element_at(F.lit(parts), F.col("length").cast("int"))).cast("int").alias("_salt"))
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order))).join(F.broadcast(before.drop("_n")), ["length", "_salt"])
+    # The pieces are dealt by (length, _salt) for their ranks, so the join moves the counts alone.
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order))).join(before.drop("_n"), ["length", "_salt"])
     ranked = ranked.select(*names, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +221,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*names).schema)
-    return ranked.mapInArrow(place, f"{kept}, sequence_id long, offset long")
+    return full.union(ranked.mapInArrow(place, f"{kept}, sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
