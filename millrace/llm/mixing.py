@@ -7,8 +7,8 @@ with x the document's size over the mean size of its source, and lambda solves
 the convex dual of its source.  Newton's method, kept inside a bracket, runs for
 all sources at once on a histogram of sizes; each step is one aggregation.
 
-Rates are rounded to copies by a threshold that is a hash of the document, shifted
-for each source so that its tokens come as near to the target as whole documents
+Rates are rounded to copies by a threshold that is a hash of the document (and of
+its number among equal rows), shifted for each source so that its tokens come as near to the target as whole documents
 allow: two aggregations over binned shifts find the shift.
 """
 
@@ -24,6 +24,8 @@ MOST = 3.0
 NEWTON_STEPS = 24
 TOLERANCE = 1e-9
 BINS = 1024
+#: Equal rows that one task numbers.
+EQUAL_ROWS = 50_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -33,21 +35,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     there and the excess goes to the others.  As target / weight is one level for
     all that do not stop, sorting sources by (limit / weight) finds the level at once.
     """
-    # The number of sources is small beside the documents; the two windows see one row a source.
-    order = Window.orderBy(F.col("source").isNull(), F.encode(F.col("source"), "UTF-8"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("double")
-    limit = F.col("source_size") * most
-    w = sizes.withColumn("weight", weight).withColumn("limit", limit)
-    by_level = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull(), "source")
-    every = Window.partitionBy(F.lit(0))
+    # One row a source, which the first pass over the documents has summed.
+    place = [F.col("source").isNull(), F.encode(F.col("source"), "UTF-8")]
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(Window.orderBy(*place)) - 1, F.lit(len(weights))) + 1).cast("int")).cast("double")
+    w = sizes.withColumn("weight", weight).withColumn("limit", F.col("source_size") * most)
+    by_level = Window.orderBy(F.col("limit") / F.col("weight"), *place)
+    w = w.withColumn("_place", F.row_number().over(by_level))
     w = w.withColumn("_limits", F.coalesce(F.sum("limit").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     w = w.withColumn("_weights", F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
+    every = Window.partitionBy(F.lit(0))
     w = w.withColumn("_level", (F.sum("source_size").over(every) - F.col("_limits")) / F.col("_weights"))
-    # The first source whose limit is above the level ends the stopping; its level holds for all after it.
-    w = w.withColumn("_open", F.col("limit") >= F.col("_level") * F.col("weight"))
-    w = w.withColumn("_level", F.min(F.when(F.col("_open"), F.struct(F.col("limit") / F.col("weight"), "_level"))).over(every)["_level"])
-    target = F.least(F.col("limit"), F.coalesce(F.col("_level"), F.lit(float("inf"))) * F.col("weight"))
-    return w.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
+    # The first source in that order whose limit is no less than its share ends the stopping; its level holds for all after it.
+    open_ = F.col("limit") >= F.col("_level") * F.col("weight")
+    w = w.withColumn("_first", F.min(F.when(open_, F.struct("_place", "_level"))).over(every))
+    target = F.when(F.col("_place") < F.coalesce(F.col("_first._place"), F.lit(1 << 30)), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("_first._level") * F.col("weight")))
+    return w.select("source", "source_size", target.alias("target"))
 
 
 def _solve(hist: DataFrame, goal: DataFrame, most: float) -> DataFrame:
@@ -114,21 +116,43 @@ def _shift(crossing: DataFrame) -> DataFrame:
     return all_of.join(found, "sid", "left").select("sid", F.coalesce("every", "shift", F.lit(0.0)).alias("shift"))
 
 
+def _with_threshold(rows: DataFrame) -> DataFrame:
+    """Add u in [0, 1): a hash of (doc_id, size, sid) and of the row's number among rows equal in those.
+
+    Equal rows are numbered in buckets, so that no task holds all of a row that is
+    repeated without end; a table without any is not joined.
+    """
+    same = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("doc_id").isNull().alias("no"), "size", "sid").alias("same")
+    threshold = lambda again: F.shiftrightunsigned(F.xxhash64("doc_id", "size", "sid", again, F.lit("mix")), 11) / float(1 << 53)
+    slim = rows.select("row", same)
+    equal = materialize(slim.groupBy("same").agg(F.count("*").alias("n")).where("n > 1"))
+    if equal.isEmpty():
+        return rows.withColumn("u", threshold(F.lit(0).cast("long")))
+    cut = materialize(slim.join(equal, "same").select("row", "same", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / EQUAL_ROWS)).cast("int").alias("bucket")))
+    before = cut.groupBy("same", "bucket").agg(F.count("*").alias("k"))
+    before = before.withColumn("before", F.coalesce(F.sum("k").over(Window.partitionBy("same").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = cut.withColumn("at", F.row_number().over(Window.partitionBy("same", "bucket").orderBy("row")))
+    numbers = ranked.join(before, ["same", "bucket"]).select("row", (F.col("before") + F.col("at") - 1).alias("again"))
+    out = materialize(rows.join(numbers, "row", "left").withColumn("u", threshold(F.coalesce("again", F.lit(0).cast("long")))).drop("again"))
+    discard(cut)
+    return out
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, with_rows: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies, taken; ``with_rows`` adds the input columns.
 
     Null text has no words, so its rate changes nothing; null sources are one
     source.  Repeated rows are rows of their own.  Reruns agree: thresholds are
-    hashes of doc_id and text size.  Input columns with those names give way.  An
+    hashes of doc_id, size, source and the number among rows equal in those.  Input columns with those names give way.  An
     empty table gives an empty result.
     """
-    own = ("u", "y", "lam", "full", "mean", "miss", "shift", "size", "source_size", "target", "rate", "copies", "taken", "sid")
+    own = ("row", "again", "u", "y", "lam", "full", "mean", "miss", "shift", "size", "source_size", "target", "rate", "copies", "taken", "sid")
     kept = [c for c in docs.columns if c not in own] if with_rows else ["doc_id"]
     source = F.col("source").cast("string")
     sid = F.struct(F.coalesce(source, F.lit("")).alias("s"), source.isNull().alias("no"))
     rows = docs.select(*kept, word_count(F.col("text").cast("string")).alias("size"), sid.alias("sid"))
-    rows = rows.withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id", "size", "sid", F.lit("mix")), 11) / float(1 << 53))
-    rows = materialize(rows)
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    rows = _with_threshold(rows)
     hist = materialize(rows.groupBy("sid", "size").agg(F.count("*").alias("n")))
     sizes = hist.groupBy("sid").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n"))
     named = sizes.select(F.when(~F.col("sid.no"), F.col("sid.s")).alias("source"), "source_size")

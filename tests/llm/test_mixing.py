@@ -1,6 +1,8 @@
 from collections import defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from fixtures import documents, odd, words
 
 from millrace.llm import mixing
@@ -69,3 +71,41 @@ def test_odd_rows(spark):
     assert mixing.mix(d.where("false")).count() == 0
     only_empty = d.where("text IS NULL OR text = ''")
     assert all(r["taken"] == 0 for r in mixing.mix(only_empty).collect())
+
+
+def check_targets(spark, sizes):
+    d = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(d).collect()}
+    assert got == pytest.approx(brute_targets(sizes)) and min(got.values(), default=0) >= 0
+    if sizes:
+        assert sum(got.values()) == pytest.approx(min(sum(sizes.values()), 3 * sum(sizes.values())))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.one_of(st.none(), st.sampled_from([*"abcdefghij", "\U0001f600", "\uffff"])), st.sampled_from([0, 1, 2, 3, 100, 200, 300, 600, 900, 1800, 12345]), max_size=8))
+def test_targets_against_brute_force(spark, sizes):
+    check_targets(spark, sizes)
+
+
+def test_targets_of_proportional_sizes(spark):
+    for sizes in ((100, 200, 300), (100, 200, 900), (10_000, 20_000), (1, 2, 3, 1, 2, 3), (0, 0), (5,), (0, 0, 7)):
+        check_targets(spark, dict(zip("abcdef", sizes)))
+
+
+def test_repeated_rows_move_apart(spark):
+    rows = [(7, "one two three four five six seven eight", "a")] * 500 + [(1000 + i, " ".join(["w"] * (1 + i % 15)), "a") for i in range(500)]
+    rows += [(5000 + i, "some words of another source here", "b") for i in range(200)] + [(None, "x y z", "b")] * 40
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for some in (d, d.repartition(9)):
+        got = check(some)
+    assert len({r["taken"] for r in got if r["doc_id"] == 7}) > 1
+    key = lambda x: sorted((r["doc_id"] is None, r["doc_id"], r["taken"]) for r in x)
+    assert key(got) == key(mixing.mix(d).collect())
+
+
+def test_many_equal_rows_are_numbered_in_buckets(spark, monkeypatch):
+    rows = [(7, "one two three", "a")] * 900 + [(i, "a b c d", "b") for i in range(1000, 1400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((r["doc_id"], r["taken"]) for r in mixing.mix(d).collect())
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 100)
+    assert sorted((r["doc_id"], r["taken"]) for r in mixing.mix(d).collect()) == want
