@@ -15,6 +15,7 @@ text joins the word table.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections import Counter
@@ -28,15 +29,14 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, ship
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Bound of the broadcast word table, and of the characters of a word in it.
+#: Bound of the broadcast word table; words of more bytes than LONGEST_KEY are in it by their digest.
 FREQUENT = 100_000
-LONGEST_FREQUENT = 64
+LONGEST_KEY = 64
 EM_STEPS = 3
 #: Words that a task counts before it passes its counts on.
 FLUSH = 400_000
-#: Longest word of the vectorised recursion; longer ones take the plain loop.
+#: Longest word of the vectorised recursion; longer ones take the same recursions one by one.
 LONGEST_VECTOR = 40
-MAX_PIECE = 16
 SMOOTH = 0.1
 START = "▁"
 #: Bits of a slot's place in the tables of pieces.
@@ -57,7 +57,7 @@ def read_pieces(vocabulary: str = VOCABULARY) -> list[str]:
     out = [chr(0xDC00 + b) for b in range(256)]
     for i in range(sp.get_piece_size()):
         piece = sp.id_to_piece(i)
-        if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and len(piece) <= MAX_PIECE and START not in piece[1:]:
+        if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and START not in piece[1:]:
             out.append(piece)
     return list(dict.fromkeys(out))
 
@@ -67,6 +67,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str], logp: np.ndarray) -> None:
         self.pieces, self.logp = pieces, logp
+        self.longest = max(map(len, pieces))
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.chars = {c for p in pieces for c in p}
         self.hashes = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
@@ -131,7 +132,7 @@ class Lattice:
         codes = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, n).T.astype(np.uint64) + np.uint64(1)
         edges: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
         h = np.zeros((n, len(spelled)), dtype=np.uint64)
-        for k in range(min(n, MAX_PIECE)):
+        for k in range(min(n, self.longest)):
             h = h[: n - k] * _BASE + codes[k:]
             found = self.lookup(self._mix(h))
             for i in np.nonzero((found >= 0).any(1))[0]:
@@ -171,45 +172,56 @@ class Lattice:
                     expected += np.bincount(at[live], weights=np.exp(forward[i] + path)[live], minlength=len(expected))
         return forward[n]
 
-    def long(self, spelled: str) -> float:
-        """The same forward recursion for a long word, with a ring of the last positions."""
-        recent = [0.0]
-        for j in range(1, len(spelled) + 1):
+    def long(self, spelled: str, weight: float = 0.0, expected: np.ndarray | None = None) -> float:
+        """The same recursions over the whole of a long word; expected counts need both, each in one pass."""
+        forward, n = [0.0], len(spelled)
+        for j in range(1, n + 1):
             parts = []
-            for k in range(1, min(j, MAX_PIECE) + 1):
+            for k in range(1, min(j, self.longest) + 1):
                 at = self.ids.get(spelled[j - k : j])
                 if at is not None:
-                    parts.append(recent[-k] + self.logp[at])
+                    parts.append(forward[j - k] + self.logp[at])
             top = max(parts)
-            recent.append(top + math.log(sum(math.exp(p - top) for p in parts)))
-            if len(recent) > MAX_PIECE:
-                del recent[0]
-        return float(recent[-1])
+            forward.append(top + math.log(sum(math.exp(p - top) for p in parts)))
+        if expected is not None and weight > 0:
+            # back[i]: log of the weight of all ways from i to the end.
+            back = [0.0] * n + [math.log(weight) - forward[n]]
+            for i in range(n - 1, -1, -1):
+                parts = []
+                for k in range(1, min(n - i, self.longest) + 1):
+                    at = self.ids.get(spelled[i : i + k])
+                    if at is not None:
+                        path = self.logp[at] + back[i + k]
+                        parts.append(path)
+                        expected[at] += math.exp(forward[i] + path)
+                top = max(parts)
+                back[i] = top + math.log(sum(math.exp(p - top) for p in parts))
+        return float(forward[n])
 
     def score(self, words: list[str], weights: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
-        """Natural log-probability of each word; expected counts of a long word are those of its blocks."""
+        """Natural log-probability of each word; adds expected piece counts, if asked."""
         out = np.zeros(len(words))
         groups: dict[int, list[int]] = {}
         spelled = [self.spell(w) for w in words]
         for i, s in enumerate(spelled):
             groups.setdefault(len(s), []).append(i)
         for n, rows in groups.items():
-            if n > LONGEST_VECTOR and expected is None:
+            if n > LONGEST_VECTOR:
                 for i in rows:
-                    out[i] = self.long(spelled[i])
+                    out[i] = self.long(spelled[i], 0.0 if weights is None else float(weights[i]), expected)
                 continue
-            size = max(1, 60_000 // n) if n <= LONGEST_VECTOR else 1
+            size = max(1, 60_000 // n)
             for at in range(0, len(rows), size):
                 pick = rows[at : at + size]
-                if n > LONGEST_VECTOR:  # in blocks: a cut word gives the counts of its blocks
-                    s = spelled[pick[0]]
-                    for c in range(0, n, LONGEST_VECTOR):
-                        self.batch([s[c : c + LONGEST_VECTOR]], weights[pick], expected)
-                else:
-                    out[pick] = self.batch([spelled[i] for i in pick], None if weights is None else weights[pick], expected)
+                out[pick] = self.batch([spelled[i] for i in pick], None if weights is None else weights[pick], expected)
         return out
 
 
+def key_of(word: bytes) -> bytes:
+    """The word's key in the broadcast table: itself, or 0xFF (no byte of UTF-8) and its digest."""
+    return word if len(word) <= LONGEST_KEY else b"\xff" + hashlib.md5(word, usedforsecurity=False).digest()
+
+
 def _text(word: bytes) -> str:
     return word.decode("utf-8", "surrogatepass")
 
@@ -289,7 +301,10 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int =
 
     Returns doc_id, train, n_tokens, n_known, train_tokens, base_score (add-half
     unigram word model) and score (lattice), both log10.  Null text counts as
-    empty: an end alone.  Every row gives a row, repeated doc_ids too.
+    empty: an end alone.  Every row gives a row, and repeated rows equal ones; null
+    ``train`` is false.  Other columns, whatever their names, are ignored.  An empty
+    table gives an empty result.  Without a training row all pieces weigh alike
+    (``steps`` > 0) or as the file's order says (``steps`` = 0).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -315,16 +330,15 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int =
     discard(counted)
     # The counts from which on a word is frequent: a histogram of at most 512 steps.
     step = F.floor(F.log2(F.col("c") + 1) * 8)
-    small = F.octet_length("word") <= LONGEST_FREQUENT
     least, many = math.inf, 0
-    for r in words.where(small & (F.col("c") > 0)).groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+    for r in words.where(F.col("c") > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
         many += r["n"]
         if many > frequent:
             break
         least = r["step"]
-    common = words.where(small & (step >= least)) if least < math.inf else words.where("false")
-    table = {r["word"]: (r["base"], r["lattice"]) for r in common.select(F.col("word"), "base", "lattice").toLocalIterator()}
-    known = spark.sparkContext.broadcast({bytes(k): v for k, v in table.items()})
+    common = words.where(step >= least) if least < math.inf else words.where("false")
+    key = F.when(F.octet_length("word") <= LONGEST_KEY, F.col("word")).otherwise(F.concat(F.unhex(F.lit("FF")), F.unhex(F.md5("word"))))
+    known = spark.sparkContext.broadcast({bytes(r["key"]): (r["base"], r["lattice"]) for r in common.select(key.alias("key"), "base", "lattice").toLocalIterator()})
     own_end = end / math.log(10)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +352,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int =
                     words_of = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                     base, score, hits = base_end, own_end, 1 if ends else 0
                     for word, tf in Counter(words_of).items():
-                        found = get(word)
+                        found = get(key_of(word))
                         if found is None:
                             rare_words.append(word)
                             rare_counts.append(tf)

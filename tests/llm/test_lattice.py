@@ -54,6 +54,25 @@ def test_expected_counts_are_the_gradient():
         assert expected[i] == pytest.approx(slope, abs=1e-4)
 
 
+@pytest.mark.parametrize("n", [39, 40, 41, 90])
+def test_long_words_have_the_counts_of_the_whole_lattice(n):
+    lattice = small()
+    rng = np.random.default_rng(n)
+    words, c = ["".join(rng.choice(list("abc"), n - 1)) for _ in range(3)], np.array([2.0, 1.0, 3.0])
+    expected = [np.zeros(len(lattice.pieces)) for _ in range(2)]
+    scores = lattice.score(words, c, expected[0])
+    want = lattice.batch([lattice.spell(w) for w in words], c, expected[1])  # vectorised, whatever the length
+    assert scores == pytest.approx(want) and expected[0] == pytest.approx(expected[1])
+
+
+def test_a_common_long_word_is_looked_up_by_digest(spark):
+    long = "x" * 50_000
+    d = spark.createDataFrame([(i, f"{long} and some {'y' * 200} words {i}", i % 3 > 0) for i in range(60)], "doc_id long, text string, train boolean")
+    a, b = (sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in lm.score_documents(d, steps=1, frequent=k).collect()) for k in (100_000, 0))
+    assert a == b
+    check(lm.score_documents(d, steps=0).collect(), [tuple(r) for r in d.collect()])
+
+
 def test_vocabulary_covers_any_text():
     lattice = lm.Lattice.start(lm.read_pieces())
     strange = ["naïve", "你好世界", "\U0001f600", "x" * 500, "é" * 90, "\u0000\u0001", "▁▁"]
