@@ -28,9 +28,10 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (u long, v long, u <> v) -> (node, root): root is the least node reachable.
+    """``edges`` (u, v) -> (node, root): root is the least node reachable.
 
-    Nodes without an edge are absent.  Edges stay distributed; every step is a
+    Nodes are of any type with an order, such as a long or a struct of longs; those
+    without an edge to another node are absent.  Edges stay distributed; every step is a
     written table, so a lost executor repeats one step at most.  The number of
     steps grows with the logarithm of the number of nodes.
     """

@@ -136,15 +136,17 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
+    """(fp, tag) -> (fp, tag, side, key): a row for each key of a fingerprint."""
     ship(fps.sparkSession)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False)
-                row, side, key = keys_of(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(part[row]), pa.array(side), pa.array(key)], names=["fp", "side", "key"])
+                part = batch.slice(at, 4096)
+                row, side, key = keys_of(part.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in part.columns), pa.array(side), pa.array(key)], names=["fp", "tag", "side", "key"])
 
-    return fps.mapInArrow(of, "fp long, side byte, key long")
+    return fps.select("fp", "tag").mapInArrow(of, "fp long, tag long, side byte, key long")
 
 
 def _bits(x: Column, segment: int) -> Column:
@@ -153,10 +155,13 @@ def _bits(x: Column, segment: int) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different fingerprints (column fp, distinct) at 4 or fewer differing bits."""
+    """Links (u, v), structs of (fp, tag), of different fingerprints at 4 or fewer differing bits.
+
+    fp is distinct; tag is a long that goes with it and may be null.
+    """
     keyed = materialize(_keyed(fps))
-    a = keyed.where("side <> 1").select("key", F.col("fp").alias("u"))
-    b = keyed.where("side <> 0").select(F.col("key").alias("key2"), F.col("fp").alias("v"))
+    a = keyed.where("side <> 1").select("key", F.col("fp").alias("u"), F.col("tag").alias("u_tag"))
+    b = keyed.where("side <> 0").select(F.col("key").alias("key2"), F.col("fp").alias("v"), F.col("tag").alias("v_tag"))
     x = F.col("u").bitwiseXOR(F.col("v"))
     e = [_bits(x, i) for i in range(3)]
     one = [(e[i] <= 1) & (e[j] <= 1) for i, j in ((0, 1), (0, 2), (1, 2))]
@@ -165,7 +170,8 @@ def links(fps: DataFrame) -> DataFrame:
         first = first.when((e[i] == 2) & (e[j] == 0), k)
     # The exact check is part of the join condition: only links leave the join.
     found = a.join(b, (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & (F.bit_count(x) <= MAX_BITS) & (first == F.shiftright("key", 40)))
-    out = materialize(found.select("u", "v").distinct())
+    end = lambda c: F.struct(F.col(c).alias("fp"), F.col(f"{c}_tag").alias("tag")).alias(c)
+    out = materialize(found.select("u", "v", "u_tag", "v_tag").distinct().select(end("u"), end("v")))
     discard(keyed)
     return out
 
@@ -175,12 +181,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and word-less texts have fingerprint 0 and link like any other.  Every
     input row gives a row, repeated doc_ids too; rows without doc_id take no part
-    in the smallest id.  Other columns are ignored.
+    in the smallest id.  Other columns, whatever their names, are ignored.  An empty
+    table gives an empty result.
     """
     own = materialize(fingerprints(docs))
-    least = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(least.select("fp")))
-    groups = materialize(least.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    linked = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = groups.select("fp", "root").join(linked, "root").select("fp", "component_id")
+    least = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("tag")))
+    # A node is ordered by its least doc_id, so the least node of a component carries the answer and no group is gathered by its root.
+    node = lambda c: F.struct(F.col(f"{c}.tag").isNull().alias("none"), F.col(f"{c}.tag").alias("tag"), F.col(f"{c}.fp").alias("fp")).alias(c)
+    root = components(links(least).select(node("u"), node("v")))
+    found = root.select(F.col("node.fp").alias("fp"), F.col("root.tag").alias("root_tag"), F.lit(True).alias("linked"))
+    named = least.join(found, "fp", "left").select("fp", F.when(F.col("linked"), F.col("root_tag")).otherwise(F.col("tag")).alias("component_id"))
     return own.join(named, "fp").select("doc_id", "fp", "component_id")

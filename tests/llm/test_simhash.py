@@ -78,11 +78,24 @@ def test_links_are_exact(spark):
                 v ^= 1 << int(k)
             fps.add(v)
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    got = {tuple(r) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()}
+    rows = simhash.links(spark.createDataFrame([(s, i or None) for i, s in enumerate(signed)], "fp long, tag long")).collect()
+    assert all(e.tag == (signed.index(e.fp) or None) for r in rows for e in (r.u, r.v))
+    got = {(r.u.fp, r.v.fp) for r in rows}
     want = {(u, v) for u in signed for v in signed if u < v and ((u ^ v) & (2**64 - 1)).bit_count() <= 4}
     assert got == want
 
 
+def test_repeated_and_missing_ids(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    texts = [(5, base), (5, "another text under the same id as the first one here"), (None, base + " more"), (None, "alone and without any id at all"), (9, base + " more words"), (3, "another text under the same id as the first one here")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    fps = [brute(t) for _, t in texts]
+    root = groups_of(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    least = {k: min((texts[i][0] for i in root if root[i] == k and texts[i][0] is not None), default=None) for k in set(root.values())}
+    want = sorted((str(i), f, str(least[root[k]])) for k, ((i, _), f) in enumerate(zip(texts, fps, strict=True)))
+    assert sorted((str(r["doc_id"]), r["fp"] & (2**64 - 1), str(r["component_id"])) for r in simhash.near_duplicates(d).collect()) == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(5, 5)]
