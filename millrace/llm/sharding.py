@@ -6,7 +6,8 @@ go to the fullest shard of its group that can still take rows, and as many moves
 from shard i to shard j are accepted as there are rows that may go from j to i in
 return: rows of j that want to go to i, and rows without links, which cost no cut
 edge wherever they lie.  So every round keeps the number of rows of each shard, and
-the counts stay at most one apart.  A group that no shard could hold is split into
+the counts stay at most one apart.  Rounds go on as long as they bring rows to the
+shard where most of their group is.  A group that no shard could hold is split into
 parts of about a shard first, each of which gathers by itself.
 
 Ranks within a large set are taken in hash buckets, with the buckets' offsets
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 SHARDS = 40
-ROUNDS = 4
+#: Rounds at most; propagation ends before, once a round gathers no row.
+ROUNDS = 100
 #: Rows of a bucket in which ranks are counted, and bound of the buckets over all.
 BUCKET_ROWS = 100_000
 BUCKETS = 65_536
@@ -39,8 +41,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], bucket: Column, na
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(over.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inner = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order)))
-    # One row a bucket and value of ``by``: :func:`_bucket` bounds their number.
-    return inner.join(F.broadcast(before), [*by, "_bucket"]).withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_bucket", "_before", "_rank")
+    # The rows are dealt by (by, bucket) for their ranks, so the join moves the counts alone.
+    return inner.join(before, [*by, "_bucket"]).withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_bucket", "_before", "_rank")
 
 
 def _bucket(total: int, values: int) -> Column:
@@ -60,11 +62,21 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def _moves(now: DataFrame, linked: DataFrame, total: int, shards: int) -> DataFrame:
+def _inside(linked: DataFrame) -> DataFrame:
+    """Rows of each part on each shard: (part, shard, n)."""
+    return materialize(linked.groupBy("part", "shard").agg(F.count("*").alias("n")))
+
+
+def _away(inside: DataFrame) -> int:
+    """Rows that are not on the shard where most of their part is."""
+    return inside.groupBy("part").agg((F.sum("n") - F.max("n")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _moves(now: DataFrame, linked: DataFrame, inside: DataFrame, total: int, shards: int) -> DataFrame:
     """Accepted moves (row, to) of one round."""
     free = now.where("part IS NULL").groupBy("shard").agg(F.count("*").alias("free"))
     # One row a shard: how many rows without links it could give away.
-    inside = linked.groupBy("part", "shard").agg(F.count("*").alias("n")).join(F.broadcast(free), "shard", "left")
+    inside = inside.join(free, "shard", "left")
     inside = materialize(inside.withColumn("rank", F.struct("n", F.xxhash64("part", "shard"))))
     # The fullest shard of each part, among those that can still take rows if there are any.
     open_ = F.when(F.col("free") > 0, F.col("rank"))
@@ -81,7 +93,7 @@ def _moves(now: DataFrame, linked: DataFrame, total: int, shards: int) -> DataFr
     before = F.coalesce(F.sum("lack").over(Window.partitionBy("to").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pairs = pairs.withColumn("before", before).withColumn("lent", F.greatest(F.least(F.col("lack"), F.coalesce("free", F.lit(0)) - F.col("before")), F.lit(0)))
     pairs = pairs.withColumn("quota", F.least(F.col("n"), F.col("back")) + F.col("lent"))
-    # At most one row for each pair of shards.
+    # At most one row for each pair of shards, whatever the data: ``shards`` squared.
     accepted = wants.join(F.broadcast(pairs.select("shard", "to", "quota")), ["shard", "to"]).where("rank < quota").select("row", "to")
     lenders = ranked(now.where("part IS NULL").select("row", "shard"), ["shard"], [F.col("row")], _bucket(total, shards), "rank")
     runs = pairs.where("lent > 0").select(F.col("to").alias("lender"), F.col("shard").alias("to2"), "before", "lent")
@@ -106,13 +118,24 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     part = F.when(F.col("n").isNotNull(), F.struct("key", F.pmod(F.xxhash64("row"), parts).alias("i")))
     start = rows.select("row", "key").join(groups, "key", "left").select("row", part.alias("part"))
     now = materialize(ranked(start, [], [F.col("row")], _bucket(total, 1), "at").select("row", "part", F.pmod("at", F.lit(shards)).cast("int").alias("shard")))
+    linked = now.where("part IS NOT NULL")
+    inside = _inside(linked)
+    away = _away(inside)
     for _ in range(rounds if shards > 1 else 0):
-        moves = materialize(_moves(now, now.where("part IS NOT NULL"), total, shards))
-        if moves.isEmpty():
+        if not away:
             break
+        moves = materialize(_moves(now, linked, inside, total, shards))
         after = materialize(now.join(moves, "row", "left").select("row", "part", F.coalesce("to", "shard").alias("shard")))
         discard(moves)
-        discard(now)
-        now = after
+        linked_after = after.where("part IS NOT NULL")
+        inside_after = _inside(linked_after)
+        away_after = _away(inside_after)
+        better = away_after < away
+        discard(inside if better else inside_after)
+        discard(now if better else after)
+        if not better:
+            break
+        now, linked, inside, away = after, linked_after, inside_after, away_after
+    discard(inside)
     placed = ranked(now.select("row", "shard", F.col("part").isNotNull().alias("linked")), ["shard"], [F.col("row")], _bucket(total, shards), "slot")
     return rows.join(placed, "row").select("doc_id", "size", "text_crc32", "shard", "slot", "linked")

@@ -41,6 +41,24 @@ def test_hot_group_spreads_over_few_shards(spark):
     assert cut < 0.85 * before  # an even deal cuts 92 %
 
 
+def away(d, rows):
+    """Rows that are not on the main shard of their text."""
+    texts = {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
+    where = defaultdict(Counter)
+    for r in rows:
+        where[texts[r["doc_id"]]][r["shard"]] += 1
+    return sum(c.total() - max(c.values()) for c in where.values())
+
+
+def test_rounds_go_on_while_they_gather(spark):
+    # One text in a third of the rows, then groups of falling size: four rounds leave more rows away than a standstill.
+    texts = ["hot"] * 400 + [f"g{k}" for k in range(2, 40) for _ in range(k)] + [f"t{i}" for i in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    some = [away(d, sharding.shard(d, 12, rounds=n).collect()) for n in (0, 1, 4, 100)]
+    assert some == sorted(some, reverse=True) and some[0] > 2 * some[-1]
+    check(d, 12)
+
+
 def test_odd_rows(spark):
     d = odd(spark)
     check(d, 40)
