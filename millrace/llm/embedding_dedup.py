@@ -15,6 +15,10 @@ residuals, a codebook for each subspace; every vector is then indexed.
 Equal vectors of a label are one node.  Lists are dealt in blocks, so that no
 task holds a whole list, and a block passes on counts of links and the edges of a
 spanning forest rather than all its pairs.
+
+Every dimension has an index of its own.  Its lists number a quarter of the root of
+its vectors, and an eighth of its share of the sample at most: a larger table wants
+a larger ``sample``, or its lists grow in proportion to it.
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ from .common import discard, materialize, ship
 from .graph import components
 
 COSINE = 0.98
-#: Bound of the sample that trains the centroids and codebooks.
+#: Bound of the sample that trains the centroids and codebooks, over all dimensions, and its least part for one.
 SAMPLE = 20_000
+LEAST_SAMPLE = 256
 SUBSPACES = 8
 CODES = 16
 #: Rows of one side of a block.
@@ -57,7 +62,8 @@ class Index:
     def __init__(self, x: np.ndarray, lists: int, seed: int = 3) -> None:
         self.coarse = _kmeans(x, lists, seed)
         c = self.coarse
-        self.apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 1e-18))
+        # Rounded up a little, as a distance by inner products is less exact than one by differences.
+        self.apart = np.sqrt(np.maximum(self._squares(c), 0)) + SLACK
         residual = x - c[self._squares(x).argmin(1)]
         self.parts = [p for p in np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))]
         self.books = [_kmeans(residual[:, p], CODES, seed + 1 + i) for i, p in enumerate(self.parts)]
@@ -93,14 +99,33 @@ def _unit(raw: list[bytes]) -> np.ndarray:
 
 
 def train(classes: DataFrame, sample: int = SAMPLE) -> dict[int, Index]:
-    """An index for each dimension in a bounded sample of classes."""
-    n = classes.count()
-    part = classes if n <= sample else classes.where(F.pmod(F.xxhash64("k1"), F.lit(1_000_000)) < max(1, sample * 1_000_000 // n))
+    """An index for each dimension, from a sample picked by hash that gives each an equal share."""
+    dim = F.size("v")
+    # One row a dimension.
+    counts = {r["d"]: r["n"] for r in classes.groupBy(dim.alias("d")).agg(F.count("*").alias("n")).collect()}
+    each = max(LEAST_SAMPLE, sample // max(1, len(counts)))
+    share = F.lit(0)
+    for d, n in counts.items():
+        share = F.when(dim == d, 1 << 40 if n <= each else (each << 40) // n).otherwise(share)
     by_dim: dict[int, list] = {}
-    for row in part.select("cid", "v").orderBy("cid").limit(2 * sample).collect():
+    for row in classes.where(F.pmod(F.xxhash64("k1"), F.lit(1 << 40)) < share).select("cid", "v").orderBy("cid", "v").collect():
         by_dim.setdefault(len(row["v"]), []).append(row["v"])
-    lists = int(min(1024, max(4, round(math.sqrt(n) / 4))))
-    return {d: Index(_unit([np.array(v, dtype="<f8").tobytes() for v in x]), lists) for d, x in by_dim.items() if len(x) >= 4 * CODES}
+    lists = lambda d: max(1, min(len(by_dim[d]) // 8, round(math.sqrt(counts[d]) / 4)))
+    return {d: Index(_unit([np.array(v, dtype="<f8").tobytes() for v in x]), lists(d)) for d, x in by_dim.items()}
+
+
+def joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Roots of a forest after joining the ends u[k] and v[k] of links; each root is the least of its tree."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v, least = u[apart], v[apart], np.minimum(a, b)[apart]
+        np.minimum.at(root, a[apart], least)
+        np.minimum.at(root, b[apart], least)
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def _cell(index: dict[int, Index], cosine: float, table: pa.Table) -> pa.Table:
@@ -118,14 +143,8 @@ def _cell(index: dict[int, Index], cosine: float, table: pa.Table) -> pa.Table:
         codes = np.frombuffer(b"".join(stored["codes"].to_pylist()), dtype=np.uint8).reshape(len(y), -1)
         error = stored["error"].to_numpy()
         x_links, y_links = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
-        up: dict[int, int] = {}
-
-        def find(u: int) -> int:
-            while up.setdefault(u, u) != u:
-                up[u] = up[up[u]]
-                u = up[u]
-            return u
-
+        ids, place = np.unique(np.concatenate([x_id, y_id]), return_inverse=True)
+        root = np.arange(len(ids))
         for s in range(0, len(x), 256):
             part = x[s : s + 256]
             may = x_id[s : s + 256, None] < y_id[None]
@@ -138,13 +157,11 @@ def _cell(index: dict[int, Index], cosine: float, table: pa.Table) -> pa.Table:
                 a, b = a[live] + s, b[live]
                 np.add.at(x_links, a, y_n[b])
                 np.add.at(y_links, b, x_n[a])
-                for u, v in zip(x_id[a].tolist(), y_id[b].tolist(), strict=True):
-                    ru, rv = find(u), find(v)
-                    if ru != rv:
-                        up[max(ru, rv)] = min(ru, rv)
-                        rows.append((1, u, v))
-        for ids, n in ((x_id, x_links), (y_id, y_links)):
-            rows += [(0, int(u), int(c)) for u, c in zip(ids[n > 0], n[n > 0], strict=True)]
+                root = joined(root, place[a], place[len(x) + b])
+        tied = np.nonzero(root != np.arange(len(ids)))[0]
+        rows += zip([1] * len(tied), ids[root[tied]].tolist(), ids[tied].tolist(), strict=True)
+        for of, n in ((x_id, x_links), (y_id, y_links)):
+            rows += zip([0] * int((n > 0).sum()), of[n > 0].tolist(), n[n > 0].tolist(), strict=True)
     kinds, a, b = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table({"kind": pa.array(kinds, type=pa.int32()), "a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
 
@@ -177,7 +194,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
                 ids, n, v = (batch.column(i).take(pick) for i in (1, 2, 3))
                 raw = [np.array(e, dtype="<f8").tobytes() for e in v.to_pylist()]
                 own = shared.value.get(int(d))
-                if own is None:  # too rare for the sample: one list, compared exactly
+                if own is None:  # no vector of a rare dimension was sampled: one list, compared exactly
                     at, codes, error, probe = np.zeros(len(raw), dtype=int), np.zeros((len(raw), 0), dtype=np.uint8), np.zeros(len(raw)), np.ones((len(raw), 1), dtype=bool)
                 else:
                     at, codes, error, probe = own.assign(_unit(raw), reach)

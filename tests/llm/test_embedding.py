@@ -66,6 +66,22 @@ def test_dense_group_and_copies(spark):
     check(spark, rows)
 
 
+def test_many_lists_and_rare_dimensions(spark):
+    # Lists by the root of the table, down to one vector of a dimension.
+    rows = planted(n=900, dim=8, seed=5, labels=1) + [(10_000 + i, v, label) for i, v, label in planted(n=70, dim=3, seed=6, labels=2)] + [(20_000, [1.0, 2.0], 0)]
+    check(spark, rows)
+    check(spark, rows, sample=1)
+
+
+def test_joined_is_a_forest_of_least_roots():
+    rng = np.random.default_rng(9)
+    for n, m in ((1, 0), (50, 30), (300, 2000), (500, 260)):
+        u, v, root = rng.integers(n, size=m), rng.integers(n, size=m), np.arange(n)
+        for at in range(0, m, 37):
+            root = ed.joined(root, u[at : at + 37], v[at : at + 37])
+        assert dict(enumerate(root.tolist())) == groups_of(range(n), list(zip(u.tolist(), v.tolist(), strict=True)))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [1.0, None], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.0, 0.0], 1), (10, [1e-30, 0.0], 1), (11, [3e38, 0.0], 1), (12, [], 1)]
