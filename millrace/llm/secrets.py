@@ -6,7 +6,8 @@ seeded generator over the usual key alphabets, identifiers from a bounded sample
 of words of the corpus in which no base pattern matches, cut and joined as code
 does it.  A token is reported if its mean log-likelihood ratio a character passes
 a threshold that no identifier of about its length in a held-back part of the
-sample passes.
+sample passes.  Tokens of fewer than MIN_TOKEN characters are too short to tell, and
+those without a letter are ordinary numbers; neither is judged.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ MIN_TOKEN = 16
 LENGTHS = (16, 20, 24, 32)
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
 CHARS = string.ascii_letters + string.digits + "+/_=-"
-#: Documents of the bounded sample that the identifier model learns from.
+#: Bounds of the sample that the identifier model learns from: documents, words of them, and bytes of a word.
 SAMPLE_DOCS = 2000
 SAMPLE_WORDS = 200_000
+SAMPLE_WORD_BYTES = 128
 RANDOM_STRINGS = 20_000
 #: Least threshold of the mean log-likelihood ratio, in nats a character.
 MIN_RATIO = 0.35
@@ -125,18 +127,18 @@ def identifiers(words: list[str], seed: int = 11) -> list[str]:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Detector:
-    """Fit both models; at most ``sample_docs`` documents, chosen by hash, give words."""
+    """Fit both models; about ``sample_docs`` documents, chosen by hash, give words.
+
+    Without a word, as in an empty table, a few plain identifiers stand in.
+    """
     n = docs.count()
-    part = docs.select(F.col("text").cast("string"), "doc_id")
+    part = docs.select(F.col("text").cast("string").alias("text"), "doc_id")
     if n > sample_docs:
-        part = part.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, sample_docs * 1_000_000 // n))
-    # Every fourth word by hash, from anywhere in the whole texts.
-    some = F.filter(words_of(F.col("text")), lambda w, i: F.pmod(F.xxhash64(w, i), F.lit(4)) == 0)
-    words: list[str] = []
-    for row in part.select(some.alias("words")).limit(2 * sample_docs).toLocalIterator():
-        if len(words) < SAMPLE_WORDS:
-            words += [w for w in row[0] or () if not base_spans(w)]
-    return Detector(random_strings(), identifiers(sorted(words[:SAMPLE_WORDS])))
+        part = part.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (sample_docs << 40) // n)
+    # Words from anywhere in the whole texts, in an order of hashes, so that partitioning changes nothing.
+    words = part.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("at", "word")).where(F.octet_length("word") <= SAMPLE_WORD_BYTES)
+    some = words.select("word", F.xxhash64("doc_id", "at", "word").alias("h")).orderBy("h", "word").limit(SAMPLE_WORDS)
+    return Detector(random_strings(), identifiers(sorted(r["word"] for r in some.collect() if not base_spans(r["word"]))))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -158,7 +160,9 @@ def find_secrets(docs: DataFrame, detector: Detector, mask: str = "[SECRET]", wi
     """Spans of every whole text, in code points: doc_id, n_assign, n_access, n_hex, base, spans[, text].
 
     ``with_text`` adds the text with each span replaced by ``mask`` and, unchanged,
-    the other columns of ``docs``.  Null text has no spans and stays null.
+    the other columns of ``docs``.  Null text has no spans and stays null; columns
+    named as the operator's own are replaced; repeated rows get equal results; an
+    empty table gives an empty result.
     """
     ship(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_assign", "n_access", "n_hex", "base", "spans")] if with_text else []
