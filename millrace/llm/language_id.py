@@ -117,16 +117,14 @@ def windows_of(raw: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray
 def novelty(raw: bytes, sizes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Weights of windows: their size times the share of their 8-byte shingles that the text has not had before.
 
-    So a sentence that fills half a text by repetition speaks once.  Every fourth
-    shingle counts, picked by a hash of its bytes, which repeats pick alike.
+    So a sentence that fills half a text by repetition speaks once.
     """
-    if len(sizes) < 3:
+    if len(raw) < 8:
         return sizes
     flat = np.frombuffer(raw, dtype=np.uint8)
-    shingles = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, 8)).view("<u8")[:, 0] * np.uint64(0x9E3779B97F4A7C15)
-    at = np.nonzero(shingles >> np.uint64(62) == 0)[0]
-    first = np.unique(shingles[at], return_index=True)[1]
-    seen, new = (np.bincount(np.asarray(x) // window, minlength=len(sizes)) for x in (at, at[first]))
+    shingles = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, 8)).view("<u8")[:, 0]
+    first = np.unique(shingles, return_index=True)[1]
+    seen, new = (np.bincount(at // window, minlength=len(sizes)) for at in (np.arange(len(shingles)), first))
     return sizes * (new + 1) / (seen + 1)
 
 
@@ -149,6 +147,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, window: int = WIN
         labelled.where("lang IS NOT NULL AND text IS NOT NULL")
         .where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
         .select("doc_id", "lang", *(F.col("text").substr(p, F.lit(window)).alias(f"w{i}") for i, p in enumerate(places)))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "w0", "lang")
         .limit(2 * sample_docs)
         .collect()
     )
@@ -168,7 +167,9 @@ def identify(docs: DataFrame, model: ByteCnn | None, window: int = WINDOW, batch
     """doc_id, lang_pred, score of every whole text.
 
     Null texts and texts without a letter are ``und`` with score 0, as are all
-    texts when there was nothing to learn from.
+    texts when there was nothing to learn from.  Of languages with equal scores the
+    first by name is taken.  Repeated rows get equal results; other columns, whatever
+    their names, are ignored; an empty table gives an empty result.
     """
     if model is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
