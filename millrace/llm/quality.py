@@ -127,7 +127,9 @@ def order_rules(docs: DataFrame, given: list[Rule], sample_docs: int = SAMPLE_DO
         return list(given)
     part = docs.select("text")
     if total > sample_docs:
-        part = part.sample(fraction=sample_docs / total, seed=seed)
+        # By a hash of whole rows, so that partitioning changes nothing and copies do not come or stay away together.
+        plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+        part = docs.where(F.pmod(F.xxhash64(*plain, F.lit(seed)), F.lit(1 << 40)) < (sample_docs << 40) // total).select("text")
     work = {"chars": F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))), "words": F.col("n_words"), "lines": F.col("n_lines"), "windows": F.greatest(F.col("n_words") - WINDOW + 1, F.lit(0))}
     row = measured(part).agg(
         F.count("*").alias("n"),
@@ -141,23 +143,23 @@ def order_rules(docs: DataFrame, given: list[Rule], sample_docs: int = SAMPLE_DO
     return sorted(given, key=lambda r: (-gain[r.name], r.name))
 
 
-def verdicts(docs: DataFrame, given: list[Rule] | None = None, sample_docs: int = SAMPLE_DOCS, with_measures: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, given: list[Rule] | None = None, sample_docs: int = SAMPLE_DOCS, with_measures: bool | tuple[str, ...] = False) -> DataFrame:
     """Add rejected_by: the first rule of the cascade that rejects, null for kept.
 
     Dear measures are only worked out for documents that no rule before rejects;
-    ``with_measures`` adds the measures of all.  Null text has no words, so
-    ``few_words`` rejects it.  An empty table gives an empty result; repeated rows
-    get equal verdicts; columns of those names are replaced.
+    ``with_measures`` adds those named, or all, for every document.  Null text has
+    no words, so ``few_words`` rejects it.  An empty table gives an empty result;
+    repeated rows get equal verdicts; columns of those names are replaced.
     """
     ordered = order_rules(docs, rules() if given is None else given, sample_docs)
-    if with_measures:
-        d = measured(docs.drop("rejected_by"))
-        rest, m = d.columns, {k: F.col(k) for k in MEASURES}
-    else:
-        d, rest = _cut(docs)
-        m = _measures()
+    wanted = (MEASURES if with_measures else ()) if isinstance(with_measures, bool) else with_measures
+    d, rest = _cut(docs)
+    m = _measures()
+    if wanted:
+        d = d.select("*", *(m[k].alias(k) for k in wanted))
+        m |= {k: F.col(k) for k in wanted}
     cascade = F.lit(None).cast("string")
     for rule in reversed(ordered):
         cascade = F.when(rule.when(m), rule.name).otherwise(cascade)
     # A row number keeps the optimiser from copying the expressions into filters on the verdict.
-    return d.select(*rest, F.when(F.monotonically_increasing_id() >= 0, cascade).alias("rejected_by"))
+    return d.select(*rest, *wanted, F.when(F.monotonically_increasing_id() >= 0, cascade).alias("rejected_by"))

@@ -31,7 +31,7 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"), with_measures=True)
+    judged = quality.verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"), with_measures=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
     failed = quality.base_failed()
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

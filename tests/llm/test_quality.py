@@ -33,6 +33,9 @@ def test_measures_and_verdicts(spark):
 
 def test_lazy_cascade_agrees(spark):
     d = documents(spark)
+    some = quality.verdicts(d, with_measures=("n_words", "n_repeat_words"))
+    assert some.columns == [*d.columns, "n_words", "n_repeat_words", "rejected_by"]
+    assert {(r.doc_id, r.n_words, r.n_repeat_words, r.rejected_by) for r in some.collect()} == {(r.doc_id, r.n_words, r.n_repeat_words, r.rejected_by) for r in quality.verdicts(d, with_measures=True).collect()}
     full = {(r.doc_id, r.rejected_by) for r in quality.verdicts(d, with_measures=True).collect()}
     assert {(r.doc_id, r.rejected_by) for r in quality.verdicts(d).collect()} == full
     kept = quality.verdicts(d).where("rejected_by IS NULL")
@@ -46,6 +49,7 @@ def test_order_is_by_rejection_per_cost_and_changes_no_verdict(spark):
     assert sorted(names) == sorted(r.name for r in given)
     assert names == [r.name for r in quality.order_rules(d, list(reversed(given)))]
     sampled = quality.order_rules(d, given, sample_docs=20)
+    assert sampled == quality.order_rules(d.repartition(9), given, sample_docs=20)
     assert sorted(r.name for r in sampled) == sorted(names)
     assert quality.verdicts(d.where("false")).count() == 0
 
