@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,12 @@ _kept: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where no folder is configured, as in local tests, a temporary one is set.
+    Only in local mode, as in tests, may it be unset: then a temporary one is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -73,6 +76,21 @@ def discard(df: DataFrame | None) -> None:
         _kept[:] = [x for x in _kept if x[1] != path]
 
 
+@contextmanager
+def scoped() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialised inside are deleted at the end, but for those passed to the function given."""
+    before, spared = {x[1] for x in _kept}, set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        spared.add(df._millrace_path)
+        return df
+
+    yield keep
+    for spark, path in [x for x in _kept if x[1] not in before | spared]:
+        _remove(spark, path)
+        _kept.remove((spark, path))
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _kept:

@@ -36,23 +36,54 @@ def test_quality(inputs):
     assert Counter(after) == Counter(r for r in before if verdict(brute(r.text)))
 
 
-def test_dedup(inputs):
-    before, after, _ = inputs[1]
-    fps = [fingerprint(r.text) for r in before]
+def kept_rows(rows):
+    """For each group of near copies the least doc_id, null if none has one."""
+    fps = [fingerprint(r.text) for r in rows]
     links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     root = groups_of(range(len(fps)), links)
-    least = defaultdict(list)
-    for i, r in enumerate(before):
-        if r.doc_id is not None:
-            least[root[i]].append(r.doc_id)
-    assert sorted(r.doc_id for r in after) == sorted(min(v) for v in least.values())
-    assert {r for r in after} <= set(before)
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[root[i]].append(r)
+    return groups
+
+
+def test_dedup(inputs):
+    before, after, _ = inputs[1]
+    groups = kept_rows(before)
+    ids = [min((r.doc_id for r in g if r.doc_id is not None), default=None) for g in groups.values()]
+    assert Counter(r.doc_id for r in after) == Counter(ids)
+    assert not Counter(after) - Counter(before)
+    assert all(len(set(g) & set(after)) == 1 for g in groups.values())
+
+
+def test_dedup_loses_no_text_without_an_id(spark):
+    long = [" ".join(f"{p}{i}" for i in range(50)) for p in "abcd"]
+    texts = [(None, long[0]), (7, long[1]), (7, long[2]), (None, long[2]), (None, long[3]), (None, long[3]), (8, None), (9, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, d, "").collect())
+    assert got == Counter([(None, long[0]), (7, long[1]), (7, long[2]), (None, long[3]), (8, None)])
+
+
+def test_empty_and_very_long(spark):
+    empty = documents(spark).where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+    rng = __import__("random").Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(20_000)]
+    long = " ".join(rng.choices(vocabulary, k=180_000))  # above 1 MB
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([long, long + " more", " ".join(vocabulary[:100])])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(long) > 1_000_000
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, ""))
+        if name != "source_mix":
+            assert {r.text for r in docs.collect()} >= {long}
+    check_packed(corpus_pipeline.pack(spark, docs, "").collect(), [(r.doc_id, r.text) for r in docs.collect()])
 
 
 def test_secrets(inputs):
     before, after, _ = inputs[2]
     old = {r.doc_id: r for r in before}
-    assert sorted(old) == sorted(r.doc_id for r in after)
+    assert Counter(r.doc_id for r in before) == Counter(r.doc_id for r in after) and len(old) == len(before)
     for r in after:
         spans = secrets.base_spans(old[r.doc_id].text)
         if spans:
