@@ -81,7 +81,32 @@ def salted_task_load(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 def anti_join_not_in(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey").join(t.orders.where(F.col("o_totalprice") > 150000).select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return j.not_in(t.customer.select("c_custkey"), "c_custkey", t.orders.where(F.col("o_totalprice") > 150000).select("o_custkey"))
+
+
+#: Keys with nulls on either side.
+NULLED = "(SELECT o_orderkey, NULLIF(o_custkey % 50, 7) AS k FROM orders)"
+
+
+@query(f"""SELECT 'null on the left' AS keys, COUNT(*) AS n FROM {NULLED} WHERE k NOT IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'null in the list', COUNT(*) FROM {NULLED} WHERE k NOT IN (SELECT NULLIF(n_nationkey, 3) FROM nation) UNION ALL SELECT 'empty list', COUNT(*) FROM {NULLED} WHERE k NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 0)""")
+def anti_join_null_aware(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", F.nullif(F.col("o_custkey") % 50, F.lit(7)).alias("k"))
+    nations = t.nation.select(F.col("n_nationkey").cast("long").alias("k"))
+    lists = {"null on the left": nations, "null in the list": nations.select(F.nullif("k", F.lit(3)).alias("k")), "empty list": nations.where("k < 0")}
+    out = None
+    for name, keys in lists.items():
+        one = j.not_in(rows, "k", keys).agg(F.count("*").alias("n")).select(F.lit(name).alias("keys"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("""SELECT COUNT(*) = 0 AS same, (SELECT COUNT(*) = 0 FROM ((SELECT o_custkey FROM orders) EXCEPT ALL (SELECT DISTINCT o_custkey FROM orders))) AS same_without_repeats
+FROM ((SELECT o_custkey FROM orders) EXCEPT ALL (SELECT o_custkey FROM orders ORDER BY o_orderkey DESC))""")
+def same_rows_of_two_results(t: Tables) -> DataFrame:
+    o = t.orders.select("o_custkey")
+    shuffled = t.orders.orderBy(F.desc("o_orderkey")).select("o_custkey")
+    return t.spark.createDataFrame([(j.same_rows(o, shuffled), j.same_rows(o, o.distinct()))], "same boolean, same_without_repeats boolean")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate = (SELECT MAX(o_orderdate) FROM orders)")
@@ -108,7 +133,8 @@ def join_plan_report(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "strategy string, shuffles int, broadcasts int, nodes string")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('filter', 'narrow', 0), ('select', 'narrow', 0), ('withColumn', 'narrow', 0), ('union', 'narrow', 0), ('coalesce', 'narrow', 0), ('groupBy', 'wide', 1), ('distinct', 'wide', 1),
+('orderBy', 'wide', 1), ('join', 'wide', 2), ('repartition', 'wide', 1)) v(operation, kind, shuffles)""")
 def narrow_wide_report(t: Tables) -> DataFrame:
     o = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
     cases = {

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from ..operators.layout import export, manifest, run_folder
 from ..sources.files import schema_fingerprint
-from .tables import ControlStore
+from .tables import FREQUENCIES, ControlStore
 
-STEPS = ("SELECT", "LOCK", "SCHEMA", "BOUNDS", "EXTRACT", "VERIFY", "PUBLISH", "MARKER")
 #: Faults and what to do: retry with back-off, smaller chunks, fail without retry, hold, stop the run, disable.
 POLICY = {
     "transient": "retry", "resource": "smaller_chunks", "count_mismatch": "fail",
@@ -54,9 +53,19 @@ def fault_of(error: Exception) -> str:
     return "transient" if isinstance(error, (OSError, TimeoutError)) else "unknown"
 
 
-def due(config: DataFrame, state: DataFrame) -> DataFrame:
-    """Tables to run in order: priority, then size (baseline) or last duration (incremental), largest first."""
+def due(config: DataFrame, state: DataFrame, now: datetime | None = None) -> DataFrame:
+    """Tables to run in order: priority, then size (baseline) or last duration (incremental), largest first.
+
+    With ``now``, a table that has succeeded in the current unit of its frequency
+    (hour, day, week, month) is not due, unless its baseline is unfinished.
+    """
     both = config.where("in_scope AND enabled").join(state, "table_id").where("phase <> 'HELD'")
+    if now is not None:
+        at, fresh = F.lit(now).cast("timestamp_ntz"), F.lit(False)
+        for name, unit in FREQUENCIES.items():
+            if unit:
+                fresh = F.when(F.col("run_frequency") == name, F.date_trunc(unit, "last_success_at") >= F.date_trunc(unit, at)).otherwise(fresh)
+        both = both.where((F.col("phase") == "BASELINE") | ~F.coalesce(fresh, F.lit(False)))
     weight = F.when(F.col("phase") == "INCREMENTAL", F.col("last_duration_seconds").cast("long")).otherwise(F.col("est_size_mb"))
     return both.orderBy(F.col("priority").asc_nulls_last(), weight.desc_nulls_last(), "table_id")
 
@@ -100,6 +109,14 @@ def with_overlap(target: DataFrame, late: DataFrame, keys: list[str], recency: s
     return latest_per_key(target.unionByName(late), keys, recency, tie_breaker)
 
 
+def middle(lo: object, hi: object) -> object | None:
+    """A value between the bounds of a chunk, None if there is none."""
+    if isinstance(lo, int):
+        return lo + (hi - lo) // 2 if hi - lo > 1 else None
+    half = (hi - lo) / 2
+    return lo + half if half.total_seconds() >= 1 else None
+
+
 class Runner:
     """Runs due tables through ``slots`` threads that share one queue.
 
@@ -107,6 +124,9 @@ class Runner:
     new table or chunk may start.  fail: a hook that tests use to break a step.
     fault: names the fault of an error, which :func:`decide` turns into an action;
     wait: the back-off before the next attempt.
+
+    Each step of a table logs its START and END.  A START is written at once, with
+    the events before it, so the log shows where a run that was killed had got to.
     """
 
     def __init__(self, store: ControlStore, source: Callable[[str], DataFrame], root: str, clock: Callable[[], datetime], slots: int = 6, closes: datetime | None = None, fail: Callable[[str, int], None] = lambda step, table: None, fault: Callable[[Exception], str] = fault_of, wait: Callable[[int], None] = lambda attempt: None) -> None:
@@ -114,45 +134,44 @@ class Runner:
         self.store, self.source, self.root, self.clock, self.slots, self.closes, self.fail = store, source, root, clock, slots, closes, fail
         self._lock = Lock()
 
-    def _log(self, run: str, table: int, step: str, kind: str, message: str = "") -> None:
-        with self._lock:
-            events = self.store.rows("events")
-            self.store.add("events", [{"event_id": len(events) + 1, "batch_run_id": run, "table_id": table, "step": step, "kind": kind, "message": message[:500], "at": self.clock()}])
-
     def _closed(self, expected_seconds: int | None) -> bool:
         if self.closes is None:
             return False
         left = (self.closes - self.clock()).total_seconds()
         return left <= (expected_seconds or 0)
 
-    def run(self, run_type: str = "SCHEDULED") -> dict:
+    def run(self, run_type: str = "SCHEDULED", compact: bool = True) -> dict:
+        """One pass over the tables that are due; a ``CATCHUP`` run takes those, too, that have run already."""
         run = self.clock().strftime("%Y%m%d_%H%M%S")
-        self.store.add("runs", [{"batch_run_id": run, "run_type": run_type, "start_at": self.clock(), "status": "RUNNING"}])
-        queue = [r.asDict() for r in due(self.store.read("config"), self.store.read("state")).collect()]
+        start = self.clock()
+        self.store.refresh()
+        self.store.add("runs", [{"batch_run_id": run, "run_type": run_type, "start_at": start, "status": "RUNNING"}])
+        queue = [r.asDict() for r in due(self.store.read("config"), self.store.read("state"), start if run_type == "SCHEDULED" else None).collect()]
+        self._ended = []
         with ThreadPoolExecutor(self.slots) as pool:
             # Every future is read, so no failure goes unseen.
             results = [f.result() for f in [pool.submit(self._table, run, t) for t in queue]]
         counts = {k: results.count(k) for k in ("SUCCEEDED", "FAILED", "SKIPPED", "HELD")}
         status = "COMPLETE" if not counts["FAILED"] and not counts["HELD"] else "PARTIAL" if counts["SUCCEEDED"] else "FAILED"
-        rows = self.store.rows("runs")
-        rows[-1] |= {"end_at": self.clock(), "status": status, "succeeded": counts["SUCCEEDED"], "failed": counts["FAILED"], "skipped": counts["SKIPPED"], "held": counts["HELD"]}
-        self.store.put("runs", rows)
+        self.store.add("runs", [{"batch_run_id": run, "run_type": run_type, "start_at": start, "end_at": self.clock(), "status": status, "succeeded": counts["SUCCEEDED"], "failed": counts["FAILED"], "skipped": counts["SKIPPED"], "held": counts["HELD"]}])
+        if compact:
+            for name in ("state", "events"):
+                self.store.compact(name)
         return {"batch_run_id": run, "status": status, **counts}
 
     def plan(self) -> list[dict]:
         """What a run would do now, without writing: tables in order with mode and window."""
         out = []
-        for t in due(self.store.read("config"), self.store.read("state")).collect():
+        for t in due(self.store.read("config"), self.store.read("state"), self.clock()).collect():
             source = self.source(f"{t['source_schema']}.{t['source_table']}")
             high = None if t["load_type"] == "FULL_REFRESH" else high_mark(source, t["change_date_column"])
             out.append({"table_id": t["table_id"], "load_type": t["load_type"], "phase": t["phase"], "low": t["marker"], "high": None if high is None else str(high)})
         return out
 
     def _table(self, run: str, t: dict) -> str:
-        table, step = t["table_id"], "SELECT"
         if self._closed(t["last_duration_seconds"]) or self._mass_failure():
             return "SKIPPED"
-        out = self._attempt(run, t, table, step)
+        out = _Task(self, run, t).run()
         with self._lock:
             self._ended.append(out)
         return out
@@ -162,91 +181,145 @@ class Runner:
             n = len(self._ended)
             return n >= MASS_LEAST and decide("unknown", failed_share=self._ended.count("FAILED") / n) == "stop_run"
 
-    def _attempt(self, run: str, t: dict, table: int, step: str) -> str:
+
+class _Task:
+    """One table in one run."""
+
+    def __init__(self, runner: Runner, run: str, t: dict) -> None:
+        self.runner, self.store, self.run_id, self.t, self.table = runner, runner.store, run, t, t["table_id"]
+        self.began, self.step, self._events, self._n = runner.clock(), "SELECT", [], 0
+
+    def _log(self, step: str, kind: str, message: str = "", write: bool = True) -> None:
+        self._n += 1
+        self._events.append({"event_id": f"{self.run_id}/{self.table}/{self._n:06d}", "batch_run_id": self.run_id, "table_id": self.table, "step": step, "kind": kind, "message": message[:500], "at": self.runner.clock()})
+        if write:
+            self.store.add("events", self._events)
+            self._events = []
+
+    def _enter(self, step: str) -> None:
+        """End the step before and start the next one."""
+        if self._n:
+            self._log(self.step, "END", write=False)
+        self.step = step
+        self._log(step, "START")
+        self.runner.fail(step, self.table)
+
+    def _leave(self, outcome: str, **state: object) -> str:
+        self.store.update(self.table, locked_by=None, locked_at=None, **state)
+        self._log(self.step, "END", "" if outcome == "SUCCEEDED" else outcome.lower())
+        return outcome
+
+    def run(self) -> str:
         try:
-            step = "LOCK"
-            with self._lock:
-                if not self.store.lock(table, run, self.clock()):
-                    return "SKIPPED"
-            self.fail(step, table)
-            step = "SCHEMA"
-            source = self.source(f"{t['source_schema']}.{t['source_table']}")
-            found = schema_fingerprint(source)
-            if t["column_hash"] and t["column_hash"] != found:
-                self._state(table, phase="HELD", locked_by=None, locked_at=None)
-                self._log(run, table, step, "WARNING", "columns changed")
-                return "HELD"
-            self.fail(step, table)
-            step = "BOUNDS"
-            low = high = None
-            if t["load_type"] == "INCREMENTAL":
-                low = t["marker"]
-                high = t["baseline_boundary"] if t["phase"] == "BASELINE" and t["baseline_boundary"] else high_mark(source, t["change_date_column"])
-                kind = source.schema[t["change_date_column"]].dataType
-                if high is None or (low is not None and source.sparkSession.range(1).select(F.lit(str(high)).cast(kind) <= F.lit(low).cast(kind)).first()[0]):
-                    self._state(table, locked_by=None, locked_at=None)
-                    return "SKIPPED"
-                high = str(high)
-                source = window(source, t["change_date_column"], None if low is None else F.lit(low).cast(kind), F.lit(high).cast(kind))
-                if low is None and t["phase"] != "BASELINE":
-                    self._state(table, phase="BASELINE", baseline_boundary=high)
-            step = "EXTRACT"
-            plan = chunks(source, t["chunk_column"], t["chunk_size"]) if t["chunk_column"] and low is None and t["load_type"] == "INCREMENTAL" else [None]
-            done = {(x["window_from"], x["window_to"]) for x in self.store.rows("tasks") if x["table_id"] == table and x["status"] == "PUBLISHED" and x["chunk_no"] is not None}
-            for no, bounds in enumerate(plan):
-                if bounds and (str(bounds[0]), str(bounds[1])) in done:
-                    continue  # a killed baseline keeps the chunks it has published
-                if bounds and no and self._closed(t["last_duration_seconds"]):
-                    self._state(table, locked_by=None, locked_at=None)
-                    return "SKIPPED"
-                part = source if bounds is None else chunk(source, t["chunk_column"], *bounds, first=no == 0)
-                self._tried(run, t, part, no if bounds else None, (str(bounds[0]), str(bounds[1])) if bounds else (low, high))
-            step = "MARKER"
-            self.fail(step, table)
-            after = {"marker": high, "phase": "INCREMENTAL"} if t["load_type"] == "INCREMENTAL" else {"phase": "INCREMENTAL"}
-            self._state(table, **after, baseline_boundary=None, column_hash=found, last_run=run, consecutive_failures=0, locked_by=None, locked_at=None)
-            self._log(run, table, step, "END")
-            return "SUCCEEDED"
+            return self._steps()
         except Exception as e:  # one table's failure is recorded and must not stop the others
-            self._log(run, table, step, "ERROR", f"{type(e).__name__}: {e}")
-            failures = t["consecutive_failures"] + 1
-            self._state(table, consecutive_failures=failures, locked_by=None, locked_at=None)
-            if decide(self.fault(e), MAX_ATTEMPTS, failures) == "disable":
-                with self._lock:
-                    self.store.put("config", [r | {"enabled": False} if r["table_id"] == table else r for r in self.store.rows("config")])
-                self._log(run, table, step, "WARNING", "disabled after repeated failures")
+            self._log(self.step, "ERROR", f"{type(e).__name__}: {e}")
+            failures = self.store.state(self.table)["consecutive_failures"] + 1
+            self.store.update(self.table, consecutive_failures=failures, locked_by=None, locked_at=None)
+            if decide(self.runner.fault(e), MAX_ATTEMPTS, failures) == "disable":
+                self.store.configure(self.table, enabled=False)
+                self._log(self.step, "WARNING", "disabled after repeated failures")
             return "FAILED"
 
-    def _tried(self, run: str, t: dict, part: DataFrame, no: int | None, bounds: tuple) -> None:
+    def _steps(self) -> str:
+        t, table, store = self.t, self.table, self.store
+        self._enter("SELECT")
+        self._enter("LOCK")
+        if not store.lock(table, self.run_id, self.runner.clock()):
+            self._log("LOCK", "END", "locked by another run")
+            return "SKIPPED"
+        self._enter("SCHEMA")
+        source = self.runner.source(f"{t['source_schema']}.{t['source_table']}")
+        found = schema_fingerprint(source)
+        if t["column_hash"] and t["column_hash"] != found:
+            self._log("SCHEMA", "WARNING", "columns changed")
+            return self._leave("HELD", phase="HELD")
+        self._enter("BOUNDS")
+        low = high = None
+        if t["load_type"] == "INCREMENTAL":
+            kind = source.schema[t["change_date_column"]].dataType
+            low = self._marked()
+            high = t["baseline_boundary"] if t["phase"] == "BASELINE" and t["baseline_boundary"] else high_mark(source, t["change_date_column"])
+            if high is None or (low is not None and source.sparkSession.range(1).select(F.lit(str(high)).cast(kind) <= F.lit(low).cast(kind)).first()[0]):
+                return self._leave("SKIPPED")
+            high = str(high)
+            source = window(source, t["change_date_column"], None if low is None else F.lit(low).cast(kind), F.lit(high).cast(kind))
+            if low is None and t["phase"] != "BASELINE":
+                store.update(table, phase="BASELINE", baseline_boundary=high)
+        self._enter("EXTRACT")
+        if t["chunk_column"] and low is None and t["load_type"] == "INCREMENTAL":
+            # A killed baseline keeps the chunks that it has published.
+            finished = store.read("tasks").where((F.col("table_id") == table) & F.col("status").isin("PUBLISHED", "SPLIT") & F.col("chunk_no").isNotNull())
+            done = {(r[0], r[1], r[2]) for r in finished.select("window_from", "window_to", "status").collect()}
+            for no, bounds in enumerate(chunks(source, t["chunk_column"], t["chunk_size"])):
+                if no and self.runner._closed(t["last_duration_seconds"]):
+                    return self._leave("SKIPPED")
+                self._chunk(source, no, bounds, f"chunk={no:05d}", done, no == 0)
+        else:
+            self._tried(source, None, (low, high), "")
+        self._enter("MARKER")
+        after = {"marker": high} if t["load_type"] == "INCREMENTAL" else {}
+        now = self.runner.clock()
+        return self._leave("SUCCEEDED", **after, phase="INCREMENTAL", baseline_boundary=None, column_hash=found, last_run=self.run_id, last_success_at=now, last_duration_seconds=int((now - self.began).total_seconds()), consecutive_failures=0)
+
+    def _marked(self) -> str | None:
+        """The low mark.  A window that a killed run published, but did not mark, counts as marked."""
+        low = self.t["marker"]
+        if low is None:
+            return None
+        same = (F.col("table_id") == self.table) & (F.col("status") == "PUBLISHED") & F.col("chunk_no").isNull() & (F.col("window_from") == low)
+        found = self.store.read("tasks").where(same).orderBy(F.desc("published_at")).select("window_to").limit(1).collect()
+        return found[0][0] if found else low
+
+    def _chunk(self, source: DataFrame, no: int, bounds: tuple, folder: str, done: set, first: bool) -> None:
+        """One range, in halves if it is too large for the resources or was halved before."""
+        names = tuple(map(str, bounds))
+        if (*names, "PUBLISHED") in done:
+            return
+        if (*names, "SPLIT") not in done:
+            try:
+                return self._tried(chunk(source, self.t["chunk_column"], *bounds, first=first), no, names, folder)
+            except Exception as e:  # which errors ask for smaller chunks is the policy's decision
+                if decide(self.runner.fault(e)) != "smaller_chunks" or middle(*bounds) is None:
+                    raise
+                self._log("EXTRACT", "WARNING", f"smaller chunks after {type(e).__name__}: {e}")
+                # Noted, so that a later run finds the halves that were published.
+                self._record(no, 1, names, "SPLIT", self.runner.clock(), target=folder)
+        half = middle(*bounds)
+        self._chunk(source, no, (bounds[0], half), f"{folder}a", done, first)
+        self._chunk(source, no, (half, bounds[1]), f"{folder}b", done, False)
+
+    def _tried(self, part: DataFrame, no: int | None, bounds: tuple, folder: str) -> None:
         """Extract one window; transient faults are tried again, as each try replaces its folder."""
         for attempt in range(1, MAX_ATTEMPTS + 1):
+            start = self.runner.clock()
             try:
-                return self._extract(run, t, part, no, bounds, attempt)
+                return self._extract(part, no, bounds, folder, attempt, start)
             except Exception as e:  # which errors end the table is the policy's decision
-                if decide(self.fault(e), attempt) != "retry":
+                action = decide(self.runner.fault(e), attempt)
+                if action != "retry":
+                    if action != "smaller_chunks" or no is None:
+                        self._record(no, attempt, bounds, "FAILED", start, error=f"{type(e).__name__}: {e}"[:500])
                     raise
-                self._log(run, t["table_id"], "EXTRACT", "RETRY", f"{type(e).__name__}: {e}")
-                self.wait(attempt)
+                self._log(self.step, "RETRY", f"{type(e).__name__}: {e}")
+                self.runner.wait(attempt)
         return None
 
-    def _state(self, table: int, **values: object) -> None:
-        with self._lock:
-            self.store.update(table, **values)
-
-    def _extract(self, run: str, t: dict, part: DataFrame, no: int | None, bounds: tuple, attempt: int) -> None:
-        table = t["table_id"]
-        folder = run_folder(self.root, t["source_schema"], t["source_table"], t["load_type"], run) + (f"/chunk={no:05d}" if no is not None else "")
-        start = self.clock()
-        written = export(part, folder)
-        self.fail("VERIFY", table)
+    def _record(self, no: int | None, attempt: int, bounds: tuple, status: str, start: datetime, **more: object) -> None:
+        now = self.runner.clock()
+        low, high = (None if b is None else str(b) for b in bounds)
+        row = {"task_id": f"{self.run_id}/{self.table}/{no if no is not None else '-'}/{low}/{high}", "batch_run_id": self.run_id, "table_id": self.table, "chunk_no": no, "attempt": attempt, "window_from": low, "window_to": high, "status": status}
+        self.store.add("tasks", [row | {"start_at": start, "end_at": now, "duration_seconds": int((now - start).total_seconds())} | more])
+
+    def _extract(self, part: DataFrame, no: int | None, bounds: tuple, chunk_folder: str, attempt: int, start: datetime) -> None:
+        t = self.t
+        folder = run_folder(self.runner.root, t["source_schema"], t["source_table"], t["load_type"], self.run_id) + (f"/{chunk_folder}" if chunk_folder else "")
+        written = export(part, folder, t["max_file_size_mb"])
+        self._enter("VERIFY")
         spark = part.sparkSession
-        files = [r.asDict() for r in manifest(spark.read.schema(part.toDF(*(c.lower() for c in part.columns)).schema).parquet(folder)).collect()]
-        counted = sum(f["record_count"] for f in files)
+        files = [{"path": r["url"], "row_count": r["record_count"], "byte_size": r["content_length"]} for r in manifest(spark.read.schema(part.toDF(*(c.lower() for c in part.columns)).schema).parquet(folder)).collect()]
+        counted = sum(f["row_count"] for f in files)
         if counted != written:
             raise ReconcileError(f"{written} rows written, {counted} in the files of {folder}")
-        self.fail("PUBLISH", table)
-        with self._lock:
-            task = len(self.store.rows("tasks")) + 1
-            now = self.clock()
-            self.store.add("files", [{"task_id": task, "table_id": table, "path": f["url"], "row_count": f["record_count"], "byte_size": f["content_length"], "published_at": now} for f in files])
-            self.store.add("tasks", [{"task_id": task, "batch_run_id": run, "table_id": table, "chunk_no": no, "attempt": attempt, "window_from": bounds[0] and str(bounds[0]), "window_to": bounds[1] and str(bounds[1]), "status": "PUBLISHED", "rows_extracted": written, "source_rows": written, "file_count": len(files), "bytes_written": sum(f["content_length"] for f in files), "target": folder, "start_at": start, "duration_seconds": int((now - start).total_seconds())}])
+        self._enter("PUBLISH")
+        self._record(no, attempt, bounds, "PUBLISHED", start, rows_extracted=written, source_rows=written, file_count=len(files), bytes_written=sum(f["byte_size"] for f in files), target=folder, published_at=self.runner.clock(), files=files)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Colours of the report, and the labels of the job engine's status codes.
-COLOURS = {"ok": "#98FB98", "warn": "#F4FA58", "alert": "#FFA07A", "delay": "#FFE4B5", "unknown": "orange"}
+COLOURS = {"ok": "#98FB98", "warn": "#F4FA58", "alert": "#FFA07A", "unknown": "orange"}
 LABELS = {
     "Completed": ((1, 2), "ok"),
     "In Progress": ((0,), "ok"),
@@ -44,13 +44,15 @@ def hour(stamp: Column) -> Column:
     return F.coalesce(F.date_format(stamp, "HH:mm"), F.lit("---"))
 
 
-def job_report(catalogue: DataFrame, found: DataFrame, statuses: dict[int, tuple[str, str]] = STATUSES) -> DataFrame:
+def job_report(catalogue: DataFrame, found: DataFrame, statuses: dict[int, tuple[str, str]] = STATUSES, only: str | None = None) -> DataFrame:
     """Rows of the report in catalogue order.
 
     catalogue: job, project, info, ordinal.  found: job, status_text, started,
     ended, landed (a file name with a date, or null).  Jobs without a status get
-    the unknown one.
+    the unknown one.  ``only`` names a single job to report on.
     """
+    if only:
+        catalogue = catalogue.where(F.col("job") == only)
     j = catalogue.join(found, "job", "left")
     label, colour = status(status_code(F.col("status_text")), statuses)
     j = j.withColumns({"label": label, "colour": colour})

@@ -13,6 +13,8 @@ BROADCAST_CEILING = 8 * 1024**3
 DRIVER_RESULT_CAP = 1024**3
 #: Longest list of hot keys that is put into the plan as literals.
 KEY_LIST = 1000
+#: Room that a broadcast hot key is reckoned with.
+HOT_KEY_BYTES = 64
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -65,7 +67,7 @@ def conditional_salted_join(big: DataFrame, small: DataFrame, key: str, above: i
     """Only keys with more than ``above`` rows are salted, and only their rows of ``small`` repeated.
 
     Up to KEY_LIST hot keys become literals of the plan; more are joined to both
-    sides as a flag, so their number is not limited.
+    sides as a flag, broadcast if their number allows, so it is not limited.
     """
     _check(how)
     hot = hot_keys(big, key, above).select(key)
@@ -74,7 +76,9 @@ def conditional_salted_join(big: DataFrame, small: DataFrame, key: str, above: i
         is_hot = F.coalesce(F.col(key).isin(listed), F.lit(False)) if listed else F.lit(False)
         left, right = big.withColumn("__hot", is_hot), small.withColumn("__hot", is_hot)
     else:
+        # A join on the skewed key is what salting is to avoid, so the flags are broadcast if their size allows.
         flags = hot.withColumn("__hot", F.lit(True))
+        flags = flags.hint("broadcast") if flags.count() * HOT_KEY_BYTES <= min(DRIVER_RESULT_CAP, BROADCAST_CEILING) else flags
         left, right = (d.join(flags, key, "left").withColumn("__hot", F.coalesce("__hot", F.lit(False))) for d in (big, small))
     left = left.withColumn("__salt", F.when(F.col("__hot"), salt_of(big, n, row_key, seed)).otherwise(0)).drop("__hot")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
@@ -95,3 +99,19 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 def vanished(target: DataFrame, source_keys: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``target`` whose key is no longer in the source."""
     return target.join(source_keys.select(*keys), list(keys), "left_anti")
+
+
+def not_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is NOT IN the only column of ``keys``, by SQL's rules for null.
+
+    A null among the keys leaves no row; a null in ``column`` stays only if there
+    are no keys.  Otherwise it is an anti-join, which shuffles where a null-aware one
+    would have to broadcast.
+    """
+    key = keys.columns[0]
+    n, known = keys.agg(F.count("*"), F.count(key)).first()
+    if not n:
+        return df
+    if known < n:
+        return df.where(F.lit(False))
+    return df.where(F.col(column).isNotNull()).join(keys.select(F.col(key).alias(column)), column, "left_anti")

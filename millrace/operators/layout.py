@@ -45,12 +45,23 @@ def run_folder(root: str, schema: str, table: str, load_type: str, stamp: str) -
     return f"{root.rstrip('/')}/{schema.lower()}/{table.lower()}/load_type={load_type.lower()}/run_id={stamp}"
 
 
-def export(df: DataFrame, folder: str, max_rows_per_file: int = 5_000_000) -> int:
-    """Write a run folder, replacing what a failed try left; returns the rows written, counted on the write itself."""
-    seen = Observation("export")
+def export(df: DataFrame, folder: str, max_file_size_mb: int = 512) -> int:
+    """Write a run folder, replacing what a failed try left; returns the rows written, counted on the write itself.
+
+    Files are kept under ``max_file_size_mb``: rows a file follow from the width of
+    the schema, and where texts are wider than that, from the files of a first try.
+    """
+    limit = max_file_size_mb * 1024**2
     lowered = df.toDF(*(c.lower() for c in df.columns))
-    lowered.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file).parquet(folder)
-    return seen.get["rows"]
+    rows = max(1, limit // max(1, lowered._jdf.schema().defaultSize()))
+    while True:
+        seen = Observation()
+        lowered.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(folder)
+        written = seen.get["rows"]
+        largest = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).agg(F.max("length")).first()[0] or 0
+        if largest <= limit or rows == 1 or not written:
+            return written
+        rows = max(1, min(rows, written) * limit * 9 // (largest * 10))
 
 
 def manifest(df_written: DataFrame) -> DataFrame:
@@ -60,7 +71,13 @@ def manifest(df_written: DataFrame) -> DataFrame:
 
 
 def manifest_document(df_written: DataFrame) -> DataFrame:
-    """The manifest as one row: entries[]{url, meta{content_length, record_count}}, total."""
+    """The manifest as one row: entries[]{url, meta{content_length, record_count}}, schema{elements[]{name, type}}, meta{content_length, record_count}, total.
+
+    The names are fixed values of the manifest format; ``total`` is the rows of all files.
+    """
     rows = manifest(df_written)
     entry = F.struct("url", F.struct("content_length", "record_count").alias("meta"))
-    return rows.agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("total"))
+    elements = F.array(*(F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type")) for f in df_written.schema))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = F.struct(total("content_length").alias("content_length"), total("record_count").alias("record_count"))
+    return rows.agg(F.array_sort(F.collect_list(entry)).alias("entries"), sums.alias("meta"), total("record_count").alias("total")).withColumn("schema", F.struct(elements.alias("elements")))

@@ -41,7 +41,7 @@ def merge(
     columns: Sequence[str] | None = None,
     matched: Column | None = None,
     delete_when: Column | None = None,
-    not_matched_by_source: str = "keep",
+    not_matched_by_source: str | dict[str, Column] = "keep",
     insert: bool = True,
     dedupe_by: tuple[str, str] | None = None,
     on_duplicate_insert: str = "error",
@@ -52,10 +52,12 @@ def merge(
     every target column that the source has.  matched: condition on source columns
     that narrows both update and ambiguity check.  delete_when: condition on the
     updated values of matched rows that deletes them.  not_matched_by_source:
-    ``keep`` or ``delete`` rows of the target without a source row.  dedupe_by:
-    (recency, tie-breaker) picks one source row a key first.
+    ``keep`` or ``delete`` rows of the target without a source row, or the values
+    (of target columns) that their columns are updated to.  dedupe_by: (recency,
+    tie-breaker) picks one source row a key first.
     """
-    if not_matched_by_source not in ("keep", "delete"):
+    orphans = not_matched_by_source if isinstance(not_matched_by_source, dict) else {}
+    if not orphans and not_matched_by_source not in ("keep", "delete"):
         raise ValueError(not_matched_by_source)
     if dedupe_by:
         no_key = " OR ".join(f"`{k}` IS NULL" for k in on)
@@ -81,6 +83,8 @@ def merge(
     def value(c: str) -> Column:
         new = F.col(f"__s_{c}") if c in source.columns else F.lit(None)
         kept = F.when(in_s, new).otherwise(F.col(c)) if c in updated else F.col(c)
+        if c in orphans:
+            kept = F.when(in_s, kept).otherwise(orphans[c])
         return F.when(in_t, kept).otherwise(new).cast(target.schema[c].dataType).alias(c)
 
     keep = in_t | F.lit(insert)
@@ -135,5 +139,10 @@ class SnapshotTable:
         options = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
         array = self.spark.sparkContext._gateway.new_array(options, 1)
         array[0] = options.OVERWRITE
+        before = self.version()
         context.rename(new, current, array)
+        # Readers of the version before may still be at work; what is older goes.
+        for found in self._fs.listStatus(self._path(self.path)):
+            if found.isDirectory() and found.getPath().getName() not in (version, before):
+                self._fs.delete(found.getPath(), True)
         return True

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,13 +52,40 @@ def newest(files: DataFrame, like: str) -> DataFrame:
 
 
 def pending_per_token(tokens: DataFrame, files: DataFrame) -> DataFrame:
-    """For each token the number of files whose name holds it, 0 for none."""
-    # The token list is a catalogue read from one small file.
-    hits = files.join(F.broadcast(tokens.select("token")), F.contains(F.element_at(F.split("path", "/"), -1), F.col("token")))
-    counts = hits.groupBy("token").agg(F.count("*").alias("pending"))
+    """For each token the number of files whose name holds it, 0 for none.
+
+    A name is cut into all its parts of a token's length, so files and tokens meet
+    in an equality join; tokens have few different lengths.
+    """
+    lengths = sorted(r[0] for r in tokens.select(F.length("token")).where(F.length("token") > 0).distinct().collect())
+    name = F.element_at(F.split("path", "/"), -1)
+
+    def cuts(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length("name") - (n - 1)), lambda i: F.substring(F.col("name"), i, F.lit(n)))
+        return F.when(F.length("name") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    parts = files.select(name.alias("name")).select(F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(cuts, lengths)))).alias("token"))
+    counts = parts.join(tokens.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("pending"))
     return tokens.join(counts, "token", "left").withColumn("pending", F.coalesce("pending", F.lit(0)))
 
 
+def same_path(path: Column) -> Column:
+    """A path in one form: listings say ``file:/x``, checkpoints and metadata ``file:///x``."""
+    return F.regexp_replace(path, "^([a-z0-9]+:)/+(?=[^/])", "$1/")
+
+
+def in_blocks(paths: DataFrame, size: int = 1000) -> Iterator[list[str]]:
+    """A column of paths in lists of bounded length, for readers that take lists."""
+    held: list[str] = []
+    for row in paths.toLocalIterator():
+        held.append(row[0])
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def total_bytes(files: DataFrame) -> int:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 

@@ -308,7 +308,7 @@ def test_extraction_survives_faults(spark, tmp_path):
         return now[0]
 
     def run():
-        return extract.Runner(store, lambda n: tables[n](), str(tmp_path / "out"), clock, slots=2, fail=hook).run()
+        return extract.Runner(store, lambda n: tables[n](), str(tmp_path / "out"), clock, slots=2, fail=hook).run("CATCHUP")
 
     published = lambda: ready_files(store.read("files"), store.read("config")).where("source_table = 'orders'").agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
     marker = lambda: next(r["marker"] for r in store.rows("state") if r["table_id"] == 1)
@@ -339,7 +339,7 @@ def test_retries_disabling_and_mass_failure(spark, tmp_path):
         return now[0]
 
     def run(hook):
-        return extract.Runner(store, lambda n: spark.range(2), str(tmp_path / "out"), clock, slots=1, fail=hook, wait=waits.append).run()
+        return extract.Runner(store, lambda n: spark.range(2), str(tmp_path / "out"), clock, slots=1, fail=hook, wait=waits.append).run("CATCHUP")
 
     def flaky(step, table):
         if step == "VERIFY" and table == 1:
