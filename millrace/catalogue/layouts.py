@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import layout
 from ..operators.merge import SnapshotTable
 from ..plans import inspect, pruning
-from ..sources.files import read_partitioned
+from ..sources.files import read_catalogue, read_csv, read_json, read_partitioned
 from ..streaming import evolution, ingest
 from ..workspace import scratch
 from .registry import Tables, query
@@ -95,11 +95,50 @@ def ingest_foreachbatch_upsert(t: Tables) -> DataFrame:
     return table.read()
 
 
-@query()
+@query("""SELECT o_orderkey AS sale_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS price, CASE o_orderkey % 3 WHEN 0 THEN concat('{"price":"n/a ', o_custkey, '","_file_path":""}') WHEN 1 THEN concat('{"Suburb":"', o_orderstatus, '","_file_path":""}') END AS _rescued_data FROM orders
+UNION ALL SELECT NULL, NULL, concat('{"_line":"not json ', n_nationkey, '","_file_path":""}') FROM nation""")
 def ingest_rescued(t: Tables) -> DataFrame:
+    """A third of the lines hold a price that is no number, a third a field that is not in the schema; some are no JSON."""
     path = scratch(t.spark, "rescue")
-    lines = ['{"sale_id": 1, "price": 10}', '{"sale_id": 2, "price": "ten", "Suburb": "Ryde"}', "not json"]
-    t.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    line = "concat('{\"sale_id\": ', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat(', \"price\": \"n/a ', o_custkey, '\"}') WHEN 1 THEN concat(', \"price\": ', o_custkey, ', \"Suburb\": \"', o_orderstatus, '\"}') ELSE concat(', \"price\": ', o_custkey, '}') END)"
+    t.orders.selectExpr(f"{line} AS value").union(t.nation.selectExpr("concat('not json ', n_nationkey)")).write.text(path)
     schema = t.spark.createDataFrame([], "sale_id long, price long").schema
     found = evolution.rescued(t.spark.read.text(path).select("value", "_metadata"), schema)
     return found.withColumn(evolution.RESCUED, F.regexp_replace(evolution.RESCUED, r'"_file_path":"[^"]*"', '"_file_path":""'))
+
+
+@query("SELECT CAST(COUNT(*) AS BIGINT) AS record_count, 4 AS files, TRUE AS bytes_add_up, 'o_orderkey:bigint,o_custkey:bigint' AS columns FROM orders")
+def export_manifest(t: Tables) -> DataFrame:
+    """A run folder's manifest: rows by file, bytes by file and in all, and the schema."""
+    path = scratch(t.spark, "export")
+    layout.export(t.orders.select("o_orderkey", "o_custkey").repartition(4, "o_orderkey"), path)
+    doc = layout.manifest_document(t.spark.read.parquet(path))
+    elements = F.array_join(F.transform("schema.elements", lambda e: F.concat_ws(":", e["name"], e["type"])), ",")
+    bytes_ = F.aggregate("entries", F.lit(0).cast("long"), lambda a, e: a + e["meta"]["content_length"])
+    return doc.select(F.col("total").alias("record_count"), F.size("entries").alias("files"), (bytes_ == F.col("meta.content_length")).alias("bytes_add_up"), elements.alias("columns"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(t: Tables) -> DataFrame:
+    """Separated text written and read with the schema fixed up front."""
+    path = scratch(t.spark, "csv")
+    layout.write_csv(t.nation.select("n_nationkey", "n_name", "n_regionkey"), path, "\t")
+    return read_csv(t.spark, path, t.nation.select("n_nationkey", "n_name", "n_regionkey").schema, sep="\t")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation")
+def catalogue_round_trip(t: Tables) -> DataFrame:
+    """A separated list without a header, its comments and blank lines skipped."""
+    path = scratch(t.spark, "list")
+    layout.write_lines(t.nation.select("n_nationkey", "n_name"), path, "|")
+    t.spark.createDataFrame([("# a comment",), ("",)], "value string").write.mode("append").text(path)
+    return read_catalogue(t.spark, path, ["id", "name"]).drop("ordinal")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def json_array_read(t: Tables) -> DataFrame:
+    """A file that holds one JSON array."""
+    path = scratch(t.spark, "array")
+    rows = t.region.agg(F.to_json(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("value"))  # five rows
+    rows.coalesce(1).write.text(path)
+    return read_json(t.spark, path, t.region.select("r_regionkey", "r_name").schema, array=True)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.merge import merge
+from ..operators.merge import duplicated_keys, merge
 from .registry import Tables, query
 
 #: A delta: changed balances, nulls, and new customers.
@@ -55,3 +55,17 @@ def merge_matched_condition(t: Tables) -> DataFrame:
     target = t.customer.select("c_custkey", "c_name", "c_acctbal")
     source = target.where("c_custkey % 5 = 0").withColumn("ok", F.col("c_acctbal") > 0).withColumn("c_acctbal", F.col("c_acctbal") * 2)
     return merge(target, source, ["c_custkey"], matched=F.col("ok"))
+
+
+@query("""SELECT t.c_custkey, CASE WHEN s.c_custkey IS NOT NULL THEN s.c_name ELSE 'gone' END AS c_name, CASE WHEN s.c_custkey IS NOT NULL THEN s.c_acctbal ELSE 0.0 END AS c_acctbal
+FROM customer t LEFT JOIN (SELECT c_custkey, concat(c_name, '!') AS c_name, c_acctbal FROM customer WHERE c_custkey % 5 = 0) s ON t.c_custkey = s.c_custkey""")
+def merge_update_not_matched_by_source(t: Tables) -> DataFrame:
+    target = t.customer.select("c_custkey", "c_name", "c_acctbal")
+    source = target.where("c_custkey % 5 = 0").withColumn("c_name", F.concat("c_name", F.lit("!")))
+    return merge(target, source, ["c_custkey"], not_matched_by_source={"c_name": F.lit("gone"), "c_acctbal": F.lit(0.0)})
+
+
+@query("SELECT l_orderkey, l_suppkey FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1")
+def duplicated_merge_keys(t: Tables) -> DataFrame:
+    """Keys that an upsert would find twice."""
+    return duplicated_keys(t.lineitem.select("l_orderkey", "l_suppkey"), ["l_orderkey", "l_suppkey"])

@@ -146,3 +146,62 @@ class SnapshotTable:
             if found.isDirectory() and found.getPath().getName() not in (version, before):
                 self._fs.delete(found.getPath(), True)
         return True
+
+
+class PartitionedTable:
+    """A keyed Parquet table in hash partitions, each a folder of versions; one manifest says which count.
+
+    An upsert reads and rewrites only the partitions that hold a key of the batch.
+    The manifest is a snapshot table with a row a partition, and its commit is the
+    commit of the whole upsert.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], parts: int = 256) -> None:
+        self.spark, self.path, self.keys, self.parts = spark, path.rstrip("/"), list(keys), parts
+        self.manifest = SnapshotTable(spark, f"{self.path}/manifest")
+
+    def version(self) -> str | None:
+        return self.manifest.version()
+
+    def _current(self) -> dict[int, str]:
+        now = self.manifest.read()
+        return {} if now is None else {r["part"]: r["version"] for r in now.collect()}
+
+    def _folders(self, current: dict[int, str]) -> DataFrame | None:
+        """Rows of some partitions, each from its own version."""
+        paths = [f"{self.path}/version={v}/part={p}" for p, v in sorted(current.items())]
+        return self.spark.read.option("basePath", self.path).parquet(*paths).drop("version", "part") if paths else None
+
+    def read(self) -> DataFrame | None:
+        return self._folders(self._current())
+
+    def upsert(self, newest: DataFrame, version: str) -> bool:
+        """Merge rows (one a key) and make ``version`` current; False if it already is."""
+        if self.version() == version:
+            return False
+        # Null keys match nothing and would gather in one partition, so they are dealt by the whole row.
+        null = " OR ".join(f"`{k}` IS NULL" for k in self.keys)
+        part = lambda d: F.pmod(F.when(F.expr(null), F.xxhash64(*d.columns)).otherwise(F.xxhash64(*self.keys)), F.lit(self.parts)).cast("int")
+        current = self._current()
+        touched = [r[0] for r in newest.select(part(newest).alias("p")).distinct().collect()]  # bounded by ``parts``
+        before = self._folders({p: v for p, v in current.items() if p in touched})
+        rows = newest if before is None else merge(before, newest, self.keys)
+        rows.withColumn("part", part(rows)).repartition(len(touched) or 1, "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/version={version}")
+        after = current | dict.fromkeys(touched, version)
+        return self.manifest.commit(self.spark.createDataFrame(sorted(after.items()), "part int, version string").coalesce(1), version)
+
+    def vacuum(self) -> int:
+        """Delete partition folders that the current manifest does not name; returns how many."""
+        jvm, current, n = self.spark.sparkContext._jvm, self._current(), 0
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for version in fs.listStatus(path(self.path)):
+            name = version.getPath().getName()
+            if not name.startswith("version="):
+                continue
+            for folder in fs.listStatus(version.getPath()):
+                part = folder.getPath().getName().removeprefix("part=")
+                if folder.isDirectory() and part.isdigit() and current.get(int(part)) != name.removeprefix("version="):
+                    fs.delete(folder.getPath(), True)
+                    n += 1
+        return n

@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ..sources.files import listing
+from ..sources.files import in_blocks, listing, same_path
 from .ingest import drained, processed_files
 
 RESCUED = "_rescued_data"
@@ -44,14 +44,37 @@ class SchemaStore:
         return version
 
 
-def track(spark: SparkSession, store: SchemaStore, pending: Sequence[str], mode: str = "addNewColumns", hints: dict[str, str] | None = None) -> StructType:
+def _union(a: StructType, b: StructType) -> StructType:
+    """Fields of both; one that differs in type is text, as JSON inference has it."""
+    fields = {f.name: f for f in a}
+    for f in b:
+        same = fields.get(f.name)
+        if same is None or same.dataType == f.dataType:
+            fields[f.name] = f
+        else:
+            numbers = {"bigint", "double"} == {same.dataType.simpleString(), f.dataType.simpleString()}
+            fields[f.name] = StructField(f.name, DoubleType() if numbers else StringType())
+    return StructType(list(fields.values()))
+
+
+def observe(spark: SparkSession, pending: DataFrame) -> StructType:
+    """The schema of pending JSON files (column path), read in blocks of bounded length."""
+    found = StructType([])
+    for paths in in_blocks(pending.select("path")):
+        found = _union(found, spark.read.json(paths).schema)
+    return StructType(sorted(found, key=lambda f: f.name))
+
+
+def track(spark: SparkSession, store: SchemaStore, pending: DataFrame | Sequence[str], mode: str = "addNewColumns", hints: dict[str, str] | None = None) -> StructType:
     """The schema to read pending JSON files with.
 
     The first call infers and keeps it.  Later, with ``addNewColumns``, new fields
     are recorded and UnknownFieldError is raised, so the next run succeeds;
     ``rescue`` leaves the schema as it is and ``failOnNewColumns`` only raises.
     """
-    observed = spark.read.json(list(pending)).schema if pending else StructType([])
+    if not isinstance(pending, DataFrame):
+        pending = spark.createDataFrame([(p,) for p in pending], "path string")
+    observed = observe(spark, pending)
     if hints:
         observed = StructType([StructField(f.name, spark.range(0).select(F.lit(None).cast(hints[f.name]).alias("x")).schema[0].dataType if f.name in hints else f.dataType) for f in observed])
     known = store.load()
@@ -68,25 +91,33 @@ def track(spark: SparkSession, store: SchemaStore, pending: Sequence[str], mode:
     return known
 
 
-def auto_load(spark: SparkSession, landing: str, target: str, checkpoint: str, schemas: str, mode: str = "addNewColumns", hints: dict[str, str] | None = None, glob: str = "*.json") -> int:
-    """Append JSON files not seen before, with schema tracking and rescued data; returns the rows read.
+def unread(spark: SparkSession, landing: str, checkpoint: str, glob: str = "*.json", notices: DataFrame | None = None) -> DataFrame:
+    """Files (column path) that a checkpoint has not recorded.
 
-    The schema is inferred from the files that are pending and kept under
-    ``schemas``.  With ``addNewColumns`` a new field stops the run before anything
-    is read; the run after it takes the field in.  Read the target back with
-    ``mergeSchema``.
+    They are found by listing the folder, or with ``notices`` (column path) taken
+    from arrival notices, so that no folder is listed.
     """
-    files = listing(spark, landing, glob)
+    files = (listing(spark, landing, glob) if notices is None else notices).select(same_path(F.col("path")).alias("path")).distinct()
     try:
-        files = files.join(processed_files(spark, checkpoint).select("path"), "path", "left_anti")
+        return files.join(processed_files(spark, checkpoint).select("path"), "path", "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    pending = [r[0] for r in files.select("path").collect()]
-    store = SchemaStore(spark, schemas)
-    if not pending:
+        return files
+
+
+def auto_load(spark: SparkSession, landing: str, target: str, checkpoint: str, schemas: str, mode: str = "addNewColumns", hints: dict[str, str] | None = None, glob: str = "*.json", notices: DataFrame | None = None) -> int:
+    """Append JSON files not seen before, with schema tracking and rescued data; returns the rows read.
+
+    The schema is inferred from the files that are pending and kept under
+    ``schemas``.  With ``addNewColumns`` a new field stops the run before anything
+    is read; the run after it takes the field in.  ``notices`` names the files to
+    infer from instead of a listing.  Read the target back with ``mergeSchema``.
+    """
+    pending = unread(spark, landing, checkpoint, glob, notices)
+    if pending.isEmpty():
         return 0
-    schema = track(spark, store, pending, mode, hints)
+    schema = track(spark, SchemaStore(spark, schemas), pending, mode, hints)
     lines = spark.readStream.option("pathGlobFilter", glob).text(landing).select("value", "_metadata")
     query = rescued(lines, schema).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     return drained(query)

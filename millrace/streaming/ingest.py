@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
-from ..operators.merge import SnapshotTable, merge
+from ..operators.merge import PartitionedTable, SnapshotTable, merge
 from ..operators.windows import latest_per_key
-from ..sources.files import listing
+from ..sources.files import listing, same_path
 
 
 def drained(query) -> int:
@@ -34,10 +35,12 @@ def ingest_each(spark: SparkSession, landing: str, checkpoint: str, schema: Stru
     return drained(stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def upsert_batches(table: SnapshotTable, keys: Sequence[str], recency: str, tie_breaker: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch handler: each batch's latest row a key is merged into a snapshot table.
+def upsert_batches(table: SnapshotTable | PartitionedTable, keys: Sequence[str], recency: str, tie_breaker: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch handler: each batch's latest row a key is merged into a table.
 
-    A batch replayed after a crash finds its own version current and does nothing.
+    A :class:`PartitionedTable` rewrites only the partitions that the batch touches;
+    a snapshot table, meant for small ones, all of it.  A batch replayed after a
+    crash finds its own version current and does nothing.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -45,6 +48,9 @@ def upsert_batches(table: SnapshotTable, keys: Sequence[str], recency: str, tie_
         if table.version() == version:
             return
         newest = latest_per_key(batch, keys, recency, tie_breaker)
+        if isinstance(table, PartitionedTable):
+            table.upsert(newest, version)
+            return
         before = table.read()
         table.commit(newest if before is None else merge(before, newest, keys), version)
 
@@ -64,34 +70,56 @@ def total_rows(spark: SparkSession, path: str) -> int:
 def processed_files(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The files a stream's checkpoint has recorded: path, timestamp, batchId."""
     lines = spark.read.text(f"{checkpoint.rstrip('/')}/sources/0/*").where(F.col("value").startswith("{"))
-    return lines.select(F.from_json("value", "path string, timestamp long, batchId long").alias("x")).select("x.*").distinct()
+    found = lines.select(F.from_json("value", "path string, timestamp long, batchId long").alias("x")).select("x.*").distinct()
+    return found.withColumn("path", same_path(F.col("path")))
 
 
 class Journal:
     """Discovery by (path, modification time), so that a file overwritten in place is read again.
 
-    Seen files are a versioned table; a re-read appends the whole file, and readers
-    keep the latest row a key.
+    Seen files are appended to a log, one folder a run; a re-read appends the whole
+    file, and readers keep the latest row a key.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.table = spark, SnapshotTable(spark, path)
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def seen(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.path}/run=*")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def pending(self, landing: str, glob: str = "*") -> DataFrame:
-        files = listing(self.spark, landing, glob)
-        seen = self.table.read()
+        files, seen = listing(self.spark, landing, glob), self.seen()
         return files if seen is None else files.join(seen, ["path", "modificationTime"], "left_anti")
 
-    def run(self, landing: str, handle: Callable[[list[str]], None], glob: str = "*") -> int:
-        """Pass the pending paths to ``handle``, then record them; returns how many there were."""
-        found = self.pending(landing, glob).collect()
-        if not found:
-            return 0
-        handle(sorted(r["path"] for r in found))
-        seen, new = self.table.read(), self.spark.createDataFrame(found).select("path", "modificationTime")
-        count = 0 if seen is None else seen.count()
-        self.table.commit(new if seen is None else seen.unionByName(new), f"seen_{count + len(found)}")
-        return len(found)
+    def run(self, landing: str, handle: Callable[[DataFrame], None], glob: str = "*") -> int:
+        """Pass the pending files (path, modificationTime, length) to ``handle``, then record them; returns how many there were.
+
+        They are a written table before ``handle`` sees them, so what is handled is
+        what is recorded, and they stay distributed.  A run that dies in ``handle``
+        records nothing.
+        """
+        number = uuid.uuid4().hex
+        at = f"{self.path}/_pending/{number}"
+        self.pending(landing, glob).write.parquet(at)
+        found = self.spark.read.schema("path string, modificationTime timestamp, length long").parquet(at)
+        n = found.count()
+        if n:
+            handle(found)
+            found.select("path", "modificationTime").write.parquet(f"{self.path}/run={number}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return n
+
+
+def watch(spark: SparkSession, landing: str, checkpoint: str, schema: StructType | str, handle: Callable[[DataFrame, int], None], every: str = "1 second", fmt: str = "json"):
+    """A running query that waits for files and hands each arrival to ``handle``, until it is stopped."""
+    stream = spark.readStream.schema(schema).format(fmt).load(landing)
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def path_of_event(event: dict, bucket: str, prefix: str) -> str | None:

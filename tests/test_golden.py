@@ -219,10 +219,19 @@ def test_journal_reads_overwritten_files(spark, tmp_path):
     land, got = tmp_path / "land", []
     drop(land, "a.json", [{"x": 1}])
     journal = ingest.Journal(spark, str(tmp_path / "journal"))
-    assert journal.run(str(land), got.extend) == 1 and journal.run(str(land), got.extend) == 0
+    take = lambda found: got.extend(r.path for r in found.collect())
+    assert journal.run(str(land), take) == 1 and journal.run(str(land), take) == 0
     drop(land, "a.json", [{"x": 2}])
     os.utime(land / "a.json", (2_000_000_000, 2_000_000_000))
-    assert journal.run(str(land), got.extend) == 1 and len(got) == 2
+    assert journal.run(str(land), take) == 1 and len(got) == 2
+
+    def broken(found):
+        raise OSError("half way")
+
+    drop(land, "b.json", [{"x": 3}])
+    with pytest.raises(OSError):
+        journal.run(str(land), broken)
+    assert journal.run(str(land), take) == 1 and journal.run(str(land), take) == 0
 
 
 def test_foreach_batch_upsert(spark, tmp_path):
@@ -237,6 +246,43 @@ def test_foreach_batch_upsert(spark, tmp_path):
     assert table.read().count() == 2
 
 
+def test_partitioned_upsert_rewrites_what_it_touches(spark, tmp_path):
+    land, table = tmp_path / "land", merge.PartitionedTable(spark, str(tmp_path / "silver"), ["sale_id"], parts=8)
+    handle = ingest.upsert_batches(table, ["sale_id"], "price", "suburb")
+    drop(land, "a.json", [{"sale_id": i, "suburb": "Ryde", "price": i} for i in range(40)] + [{"sale_id": 3, "suburb": "Ryde", "price": 99}, {"suburb": "X", "price": 1}])
+    ingest.ingest_each(spark, str(land), str(tmp_path / "check"), SUBURB, handle)
+    before = table._current()
+    drop(land, "b.json", [{"sale_id": 5, "suburb": "Epping", "price": 1000}])
+    ingest.ingest_each(spark, str(land), str(tmp_path / "check"), SUBURB, handle)
+    after = table._current()
+    assert len(before) == 8 and sum(before[p] != after[p] for p in before) == 1
+    want = {i: ("Ryde", i) for i in range(40)} | {3: ("Ryde", 99), 5: ("Epping", 1000), None: ("X", 1)}
+    assert {r.sale_id: (r.suburb, r.price) for r in table.read().collect()} == want and table.read().count() == 41
+    handle(spark.createDataFrame([(9, "X", 1)], SUBURB), 1)  # replayed batch
+    assert table.vacuum() == 1 and table.read().count() == 41
+
+
+def test_snapshots_keep_two_versions(spark, tmp_path):
+    table = merge.SnapshotTable(spark, str(tmp_path / "t"))
+    for i in range(4):
+        table.commit(spark.range(i + 1).toDF("x"), f"v{i}")
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["v2", "v3"] and table.read().count() == 4
+
+
+def test_watch_hands_arrivals_over(spark, tmp_path):
+    land, got = tmp_path / "land", []
+    land.mkdir()
+    query = ingest.watch(spark, str(land), str(tmp_path / "check"), "x long", lambda batch, i: got.extend(r.x for r in batch.collect()), every="100 milliseconds")
+    try:
+        drop(land, "a.json", [{"x": 1}, {"x": 2}])
+        query.processAllAvailable()
+        drop(land, "b.json", [{"x": 3}])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(got) == [1, 2, 3]
+
+
 def test_schema_evolution(spark, tmp_path):
     land, store = tmp_path / "land", evolution.SchemaStore(spark, str(tmp_path / "schemas"))
     drop(land, "a.json", [{"id": 1}])
@@ -249,12 +295,14 @@ def test_schema_evolution(spark, tmp_path):
     assert evolution.track(spark, store, [str(land / "c.json")], mode="rescue").names == ["id", "agent"]
 
 
-def test_rescued(spark):
-    from millrace.catalogue import QUERIES
-
-    got = [tuple(r) for r in QUERIES["ingest_rescued"].run(spark, "/root/testdata/sf0.001").orderBy(F.col("sale_id").asc_nulls_last()).collect()]
+def test_rescued(spark, tmp_path):
+    lines = ['{"sale_id": 1, "price": 10}', '{"sale_id": 2, "price": "ten", "Suburb": "Ryde"}', "not json"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(tmp_path / "r"))
+    schema = spark.createDataFrame([], "sale_id long, price long").schema
+    got = [tuple(r) for r in evolution.rescued(spark.read.text(str(tmp_path / "r")).select("value", "_metadata"), schema).orderBy(F.col("sale_id").asc_nulls_last()).collect()]
     assert got[0] == (1, 10, None)
-    assert got[1][:2] == (2, None) and json.loads(got[1][2]) == {"price": "ten", "Suburb": "Ryde", "_file_path": ""}
+    second = json.loads(got[1][2])
+    assert got[1][:2] == (2, None) and second.pop("_file_path").startswith("file:") and second == {"price": "ten", "Suburb": "Ryde"}
     assert got[2][:2] == (None, None) and json.loads(got[2][2])["_line"] == "not json"
 
 
@@ -262,8 +310,12 @@ def test_auto_load(spark, tmp_path):
     land = tmp_path / "land"
     run = lambda mode="addNewColumns": evolution.auto_load(spark, str(land), str(tmp_path / "t"), str(tmp_path / "check"), str(tmp_path / "schemas"), mode)
     drop(land, "a.json", [{"id": 1, "price": 5}, {"id": 2, "price": 6}])
-    assert run() == 2 and run() == 0
+    left = lambda **more: [r.path.rsplit("/", 1)[1] for r in evolution.unread(spark, str(land), str(tmp_path / "check"), **more).collect()]
+    assert left() == ["a.json"] and run() == 2 and left() == [] and run() == 0
     drop(land, "b.json", [{"id": 3, "price": "six", "agent": "Z"}])
+    assert left() == ["b.json"]
+    notices = spark.createDataFrame([(f"file://{land}/{n}.json",) for n in "ab"], "path string")
+    assert left(notices=notices) == ["b.json"]
     with pytest.raises(evolution.UnknownFieldError):
         run()
     assert run() == 1
