@@ -79,6 +79,17 @@ def token_report(tokens: DataFrame, found: DataFrame, pending: DataFrame, status
     return j.select("ordinal", F.replace(F.col("job"), F.lit("_"), F.lit(" ")).alias("job"), "project", shown.alias("label"), "colour", n.cast("long").alias("pending"), F.coalesce(F.nullif(F.col("info"), F.lit("")), F.lit(DASH)).alias("note")).orderBy("ordinal")
 
 
+def grid(df: DataFrame, n: int = 100) -> str:
+    """The first ``n`` rows as aligned text; numbers stand to the right, and a line says if there are more."""
+    rows = df.limit(n + 1).collect()
+    right = [t.startswith(("int", "bigint", "smallint", "tinyint", "double", "float", "decimal")) for _, t in df.dtypes]
+    cells = [df.columns, *(["" if v is None else str(v) for v in r] for r in rows[:n])]
+    widths = [max(len(c[i]) for c in cells) for i in range(len(df.columns))]
+    lines = ["  ".join(v.rjust(w) if at_right else v.ljust(w) for v, w, at_right in zip(c, widths, right, strict=True)).rstrip() for c in cells]
+    lines.insert(1, "  ".join("-" * w for w in widths))
+    return "\n".join(lines + ["..."] * (len(rows) > n))
+
+
 def html_page(title: str, tables: dict[str, DataFrame], legend: dict[str, str] | None = None, send: Callable[[str], None] | None = None) -> str:
     """A page with one table a report; the rows are those of a catalogue, so few.  ``send`` is a hook for mail."""
     parts = [f"<h1>{html.escape(title)}</h1>"]

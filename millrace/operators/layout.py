@@ -31,6 +31,19 @@ def write_lines(df: DataFrame, path: str, sep: str = " ") -> None:
     df.select(F.concat_ws(sep, *texts).alias("value")).write.mode("overwrite").text(path)
 
 
+def create_table_as(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), replace: bool = True) -> None:
+    """A managed table in the warehouse from a query; ``replace`` drops one of that name."""
+    spark = df.sparkSession
+    if "." in name:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name.split('.')[0]}`")
+    writer = df.write.mode("overwrite" if replace else "errorifexists").format("parquet")
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def append_evolving(df: DataFrame, path: str) -> None:
     """Append rows that may have new columns; :func:`read_evolving` merges the schemas."""
     df.write.mode("append").parquet(path)

@@ -1,4 +1,9 @@
-"""Generated relations: pure functions of a row index."""
+"""Generated relations: pure functions of a row index.
+
+Fixed values: the column names, formulas, keys and counts of ``fact_and_dimension``,
+``skewed_orders``, ``daily_events`` and ``sample_orders`` are those of FIXTURES.md,
+part B, as the golden figures of the tests depend on them.
+"""
 
 from __future__ import annotations
 

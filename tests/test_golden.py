@@ -497,3 +497,183 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_export_adapters(spark, tmp_path):
+    from millrace.operators import exports
+
+    sql = "SELECT * FROM s.t WHERE d > '2024-01-01'"
+    texts = {k: exports.StatementExport(spark, k, "role", print).statement(sql, "s3://b/run_id=1/", 64) for k in exports.STATEMENTS}
+    assert texts["redshift"].startswith("UNLOAD ('SELECT * FROM s.t WHERE d > ''2024-01-01''')") and "MAXFILESIZE 64 MB" in texts["redshift"] and "CLEANPATH" in texts["redshift"]
+    assert "MAX_FILE_SIZE = 67108864" in texts["snowflake"] and "overwrite = true" in texts["bigquery"] and texts["synapse"].endswith(sql)
+    folder = str(tmp_path / "run")
+    own = exports.SparkExport(lambda q: spark.range(30).toDF("ID"))
+    assert own.run(sql, folder) == 30
+    sent = []
+
+    def engine(statement):
+        sent.append(statement)
+        spark.range(7).write.mode("overwrite").parquet(folder)
+
+    assert exports.StatementExport(spark, "snowflake", "lake", engine).run(sql, folder) == 7 and len(sent) == 1
+
+
+def test_export_keeps_files_under_a_size(spark, tmp_path):
+    wide = spark.range(3000, numPartitions=1).select(F.concat_ws("", *(F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 512) for k in range(12))).alias("x"))
+    assert layout.export(wide, str(tmp_path / "w"), max_file_size_mb=1) == 3000
+    sizes = [r.length for r in files.listing(spark, str(tmp_path / "w"), "*.parquet").collect()]
+    assert len(sizes) > 1 and max(sizes) <= 1024**2 and spark.read.parquet(str(tmp_path / "w")).count() == 3000
+
+
+def test_grid(spark):
+    d = spark.createDataFrame([("a", 5), ("bcd", None), ("e", 12345)], "name string, n int")
+    assert report.grid(d, 2) == "name  n\n----  -\na     5\nbcd\n..."
+    assert report.grid(d.orderBy("n")).splitlines()[2:] == ["bcd", "a         5", "e     12345"]
+
+
+def test_tables_in_the_warehouse(spark):
+    layout.create_table_as(spark.range(5).withColumn("p", F.col("id") % 2), "scratch_db.numbers", ("p",))
+    layout.create_table_as(spark.range(3).withColumn("p", F.col("id") % 2), "scratch_db.numbers", ("p",))
+    try:
+        assert spark.sql("SELECT COUNT(*) FROM scratch_db.numbers WHERE p = 0").first()[0] == 2
+        with pytest.raises(AnalysisException):
+            layout.create_table_as(spark.range(1), "scratch_db.numbers", replace=False)
+    finally:
+        layout.drop_table(spark, "scratch_db.numbers")
+        spark.sql("DROP DATABASE scratch_db CASCADE")
+    layout.drop_table(spark, "numbers_that_never_were")
+
+
+def test_overlap_json_arrays_and_required_settings(spark, tmp_path):
+    from millrace.session import require
+
+    d = "k int, v string, at int"
+    target, late = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], d), spark.createDataFrame([(1, "A", 2), (2, "old", 4), (3, "c", 1)], d)
+    assert rows(extract.with_overlap(target, late, ["k"], "at", "v")) == [(1, "A", 2), (2, "b", 5), (3, "c", 1)]
+    (tmp_path / "a.json").write_text('[{"x": 1},\n {"x": 2}]')
+    assert rows(files.read_json(spark, str(tmp_path / "a.json"), "x long", array=True)) == [(1,), (2,)]
+    require({"a": 0, "b": "x"}, "a", "b")
+    with pytest.raises(KeyError, match="b, c"):
+        require({"a": 1, "b": ""}, "a", "b", "c")
+
+
+def test_jdbc_in_parts(spark):
+    url = "jdbc:derby:memory:millrace;create=true"
+    spark.range(100).select("id", (F.col("id") * 2).alias("twice")).write.jdbc(url, "numbers", mode="overwrite", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    got = files.read_jdbc(spark, url, "numbers", "id", 0, 100, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 4 and got.agg(F.sum("twice")).first()[0] == 9900
+
+
+def test_events_say_where_a_run_stopped(spark, tmp_path):
+    from millrace.control import ops
+
+    store = ControlStore(spark, str(tmp_path / "control"))
+    store.register([{"table_id": 1, "source_schema": "s", "source_table": "t", "in_scope": True, "load_type": "FULL_REFRESH"}])
+    now = [datetime(2024, 5, 1)]
+
+    def clock():
+        now[0] += timedelta(seconds=1)
+        return now[0]
+
+    def killed(step, table):
+        if step == "VERIFY":
+            raise KeyboardInterrupt  # no handler of the run sees it, as with a killed process
+
+    with pytest.raises(KeyboardInterrupt):
+        extract.Runner(store, lambda n: spark.range(3), str(tmp_path / "out"), clock, fail=killed).run()
+    last = ops.where_it_stopped(store, "s", "t").first()
+    assert (last.step, last.kind) == ("VERIFY", "START") and store.read("files").count() == 0
+    now[0] += timedelta(hours=7)  # the lock is stale
+    assert extract.Runner(store, lambda n: spark.range(3), str(tmp_path / "out"), clock).run()["SUCCEEDED"] == 1
+    kinds = [(r.step, r.kind) for r in ops.where_it_stopped(store, "s", "t").collect()][:16]
+    assert kinds[::-1] == [(s, k) for s in ("SELECT", "LOCK", "SCHEMA", "BOUNDS", "EXTRACT", "VERIFY", "PUBLISH", "MARKER") for k in ("START", "END")]
+
+
+def test_frequency_of_runs(spark, tmp_path):
+    store = ControlStore(spark, str(tmp_path / "control"))
+    store.register([{"table_id": i, "source_schema": "s", "source_table": f"t{i}", "in_scope": True, "load_type": "FULL_REFRESH", "run_frequency": f} for i, f in enumerate(("ALWAYS", "HOURLY", "DAILY", "WEEKLY", "MONTHLY"), 1)])
+    seen = []
+    for at in (datetime(2024, 5, 1, 8), datetime(2024, 5, 1, 8, 30), datetime(2024, 5, 1, 9), datetime(2024, 5, 2), datetime(2024, 5, 6), datetime(2024, 6, 1)):
+        seen.append(extract.Runner(store, lambda n: spark.range(1), str(tmp_path / "out"), lambda at=at: at, slots=1).run()["SUCCEEDED"])
+    assert seen == [5, 1, 2, 3, 4, 5]  # May 6th begins a week and June 1st a month, in another week
+    with pytest.raises(ConstraintError):
+        store.register([{"table_id": 9, "source_schema": "s", "source_table": "x", "run_frequency": "SOMETIMES"}])
+
+
+def test_smaller_chunks_after_a_resource_fault(spark, tmp_path):
+    store = ControlStore(spark, str(tmp_path / "control"))
+    store.register([{"table_id": 1, "source_schema": "s", "source_table": "t", "in_scope": True, "change_date_column": "ts", "chunk_column": "id", "chunk_size": "64"}])
+    data = spark.range(100).select("id", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id)").alias("ts"))
+    now, stop = [datetime(2024, 5, 1)], {"after": None, "n": 0}
+
+    def clock():
+        now[0] += timedelta(seconds=1)
+        return now[0]
+
+    sizes = []
+
+    def verify(step, table):
+        if step == "VERIFY":
+            written = max((p for p in (tmp_path / "out").rglob("chunk=*") if p.is_dir()), key=lambda p: p.stat().st_mtime_ns)
+            n = spark.read.parquet(str(written)).count()
+            sizes.append(n)
+            if n > 20:
+                raise MemoryError("too large")
+            stop["n"] += 1
+            if stop["n"] == stop["after"]:
+                raise Broken("half way")
+
+    run = lambda: extract.Runner(store, lambda n: data, str(tmp_path / "out"), clock, slots=1, fail=verify).run()
+    stop["after"] = 3
+    assert run()["FAILED"] == 1
+    assert run()["SUCCEEDED"] == 1
+    tasks = store.rows("tasks")
+    done = [(int(t["window_from"]), int(t["window_to"])) for t in tasks if t["status"] == "PUBLISHED"]
+    assert sorted(done) == [(0, 16), (16, 32), (32, 48), (48, 64), (64, 80), (80, 96), (96, 128)] or sum(b - a for a, b in done) == 128
+    assert store.read("files").agg(F.sum("row_count")).first()[0] == 100 and sizes.count(64) == 1
+
+
+def test_a_window_that_was_published_is_not_published_again(spark, tmp_path):
+    store = ControlStore(spark, str(tmp_path / "control"))
+    store.register([{"table_id": 1, "source_schema": "s", "source_table": "t", "in_scope": True, "change_date_column": "ts", "run_frequency": "ALWAYS"}])
+    n, now, broken = [10], [datetime(2024, 5, 1)], [None]
+
+    def clock():
+        now[0] += timedelta(seconds=1)
+        return now[0]
+
+    def hook(step, table):
+        if step == broken[0]:
+            raise Broken(step)
+
+    data = lambda name: spark.range(n[0]).select("id", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id)").alias("ts"))
+    run = lambda: extract.Runner(store, data, str(tmp_path / "out"), clock, slots=1, fail=hook).run()
+    run()
+    n[0], broken[0] = 15, "MARKER"
+    assert run()["FAILED"] == 1
+    n[0], broken[0] = 20, None
+    assert run()["SUCCEEDED"] == 1
+    assert store.read("files").agg(F.sum("row_count")).first()[0] == 20
+
+
+def test_logs_constraints_and_compaction(spark, tmp_path):
+    store = ControlStore(spark, str(tmp_path / "control"))
+    store.register([{"table_id": 1, "source_schema": "s", "source_table": "t"}])
+    at = datetime(2024, 5, 1, 1, 2, 3, 456789)
+    store.add("runs", [{"batch_run_id": "r1", "start_at": at, "status": "RUNNING"}])
+    event = {"event_id": "e1", "batch_run_id": "r1", "table_id": 1, "step": "LOCK", "kind": "START", "at": at}
+    task = {"task_id": "t1", "batch_run_id": "r1", "table_id": 1, "attempt": 1, "status": "PUBLISHED", "start_at": at}
+    for name, row in (("runs", {"batch_run_id": "r2", "start_at": at, "status": "LOST"}), ("runs", {"batch_run_id": None, "start_at": at, "status": "RUNNING"}), ("events", event | {"step": "NAP"}), ("events", event | {"kind": "MAYBE"}), ("events", event | {"table_id": 7}), ("events", event | {"batch_run_id": "r9"}), ("tasks", task | {"attempt": 0}), ("tasks", task | {"status": "DONE"}), ("tasks", task | {"files": [{"path": None, "row_count": 1}]})):
+        with pytest.raises(ConstraintError):
+            store.add(name, [row])
+    store.add("events", [event])
+    store.add("tasks", [task | {"published_at": at, "files": [{"path": "p", "row_count": 3, "byte_size": 9}]}])
+    before = {k: store.rows(k) for k in ("config", "state", "runs", "tasks", "files", "events")}
+    assert before["events"] == [event | {"message": None}] and before["files"] == [{"task_id": "t1", "table_id": 1, "path": "p", "row_count": 3, "byte_size": 9, "published_at": at}]
+    for _ in range(3):
+        for name in ("config", "state", "runs", "tasks", "events"):
+            store.compact(name)
+        assert {k: store.rows(k) for k in before} == before
+    assert not list((tmp_path / "control" / "events" / "log").glob("*.json"))
+    store.add("events", [event | {"event_id": "e2"}])
+    assert store.read("events").count() == 2 and ControlStore(spark, str(tmp_path / "control")).state(1)["phase"] == "PENDING"
