@@ -10,6 +10,8 @@ probability passes a threshold and a comparison with its notices confirms it (th
 share of a notice's 3-grams that the paragraph holds); otherwise the paragraph is
 ``unknown``.
 
+Long paragraphs are judged in overlapping windows, so that words of licences
+scattered over much text do not add up.
 A paragraph may hold several notices, or one amid much text.  So the words near the
 grams that paragraphs are compared with are judged apart as well: the best class is
 taken, its grams go, and the rest is judged again, as long as any are left.  Every
@@ -183,6 +185,8 @@ MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.6
 #: Words around the grams of notices that are judged with them.
 NEAR = 3
+#: Words of a window, and from one window to the next, in which longer paragraphs are judged.
+WINDOW, STRIDE = 96, 48
 GAP = "|"
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)
 #: Buckets of the table of weights, so that a gram is looked up among a few.
@@ -432,7 +436,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     found = lambda words: F.filter(grams_of(words), lambda x: x.isin(vocabulary))
 
     def whole(words: Column) -> Column:
-        """The verdict on all of a paragraph: an array of one family, or none."""
+        """The verdict on all of a window: an array of one family, or none."""
         def named(best: Column, probability: Column, g: Column) -> Column:
             one = lambda o: F.struct(F.when((best != UNKNOWN) & (probability >= MIN_PROBABILITY) & (o >= MIN_OVERLAP), best).otherwise(UNKNOWN).alias("family"), probability.alias("probability"), o.alias("overlap"))
             return F.when(best == NONE, F.array().cast(f"array<{entry}>")).otherwise(F.array(let(F.when(best == UNKNOWN, 0.0).otherwise(overlap(best, g)), one).cast(entry)))
@@ -462,14 +466,25 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         return let(starts, lambda h: F.when(F.exists(h, lambda x: x), let(found(near(h)), peeled)).otherwise(none))
 
     def judged(p: Column, i: Column) -> Column:
-        """What a paragraph holds.  Families confirmed apart come first; without any the verdict on the whole stands."""
+        """What a paragraph holds: families confirmed apart, then those of its windows; ``unknown`` only without any."""
         def both(one: Column, many: Column) -> Column:
-            more = F.filter(one, lambda x: (F.size(many) == 0) | ((x["family"] != UNKNOWN) & ~F.exists(many, lambda y: y["family"] == x["family"])))
+            alone = (F.size(many) == 0) & ~F.exists(one, lambda x: x["family"] != UNKNOWN)
+            more = F.filter(one, lambda x: F.when(x["family"] == UNKNOWN, alone).otherwise(~F.exists(many, lambda y: y["family"] == x["family"])))
             return F.concat(many, more)
 
-        of = lambda words: let(whole(words), lambda one: let(apart(words), lambda many: both(one, many)))
         none = F.array().cast(f"array<{entry}>")
-        found = let(words_in(p), lambda w: F.when(may(w), let(known_words(w, known), of)).otherwise(none))
+
+        def windows(words: Column) -> Column:
+            """The verdicts on windows with an anchor, the first of each family."""
+            starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (WINDOW - STRIDE), F.lit(1)), F.lit(STRIDE))
+            verdict = lambda w: F.when(may(w), let(known_words(w, known), whole)).otherwise(none)
+            every = F.flatten(F.transform(starts, lambda at: let(F.slice(words, at, WINDOW), verdict)))
+            return let(every, lambda e: F.filter(e, lambda x, k: ~F.exists(F.slice(e, 1, k), lambda y: y["family"] == x["family"])))
+
+        def of(words: Column) -> Column:
+            return let(windows(words), lambda one: let(let(known_words(words, known), apart), lambda many: both(one, many)))
+
+        found = let(words_in(p), lambda w: F.when(may(w), of(w)).otherwise(none))
         return F.transform(found, lambda x: F.struct(i.alias("paragraph"), p.alias("text"), x["family"].alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap")))
 
     named = F.flatten(F.transform(F.split(F.col("_text"), BREAK), judged))

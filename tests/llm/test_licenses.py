@@ -51,17 +51,26 @@ class Brute:
     def overlap(self, family, g, left=None):
         return max((len(t & g) / len(t) for t in self.shapes.get(family, []) if left is None or t & left), default=0.0)
 
-    def paragraph(self, p):
+    def compressed(self, given):
         words = []
-        for w in words_in(p):
+        for w in given:
             if w in self.known or (words and words[-1] != lc.GAP):
                 words.append(w if w in self.known else lc.GAP)
-        g = grams(words) & self.vocabulary
+        return words
+
+    def window(self, given):
+        g = grams(self.compressed(given)) & self.vocabulary
         best, prob = self.judge(g)
-        one = []
-        if best != lc.NONE:
-            o = 0.0 if best == lc.UNKNOWN else self.overlap(best, g)
-            one = [(best if best != lc.UNKNOWN and prob >= lc.MIN_PROBABILITY and o >= lc.MIN_OVERLAP else lc.UNKNOWN, prob, o)]
+        if best == lc.NONE:
+            return []
+        o = 0.0 if best == lc.UNKNOWN else self.overlap(best, g)
+        return [(best if best != lc.UNKNOWN and prob >= lc.MIN_PROBABILITY and o >= lc.MIN_OVERLAP else lc.UNKNOWN, prob, o)]
+
+    def paragraph(self, p):
+        given, one = words_in(p), []
+        for at in range(0, max(len(given) - (lc.WINDOW - lc.STRIDE), 1), lc.STRIDE):
+            one += [x for x in self.window(given[at : at + lc.WINDOW]) if x[0] not in {y[0] for y in one}]
+        words = self.compressed(given)
         hit = [any(" ".join(words[i : i + n]) in self.places for n in (1, 2, 3)) for i in range(len(words))]
         many = []
         if any(hit):
@@ -80,7 +89,8 @@ class Brute:
                 if after == left:
                     break
                 left = after
-        return many + [x for x in one if not many or (x[0] != lc.UNKNOWN and x[0] not in {y[0] for y in many})]
+        known = [x for x in one if x[0] != lc.UNKNOWN and x[0] not in {y[0] for y in many}]
+        return many + (known if many or known else one)
 
     def scan(self, text):
         paragraphs = re.split(lc.BREAK, text) if text is not None else []
@@ -93,6 +103,7 @@ def test_scan_against_brute_force(spark, model):
     rng = random.Random(8)
     words = [w for r in documents(spark).select("text").collect() for w in (r.text or "").split()] + [w for t in lc.ORDINARY for w in t.split()]
     mixed = [" ".join(rng.choices(words, k=rng.randint(0, 40)) + [w for w in rng.choice(notices).split() if rng.random() < 0.8] + rng.choices(words, k=rng.randint(0, 9))) for _ in range(150)]
+    mixed += [" ".join(rng.choices(words, k=n) + rng.choice(notices).split() + rng.choices(words, k=m)) for n, m in ((95, 0), (96, 1), (40, 60), (300, 300), (2000, 10))]
     mixed += ["\n".join(rng.sample(notices, 3)) for _ in range(40)] + ["\n\n".join(rng.sample(notices + lc.ORDINARY, 4)) for _ in range(40)] + [*lc.ORDINARY, *lc.STEMS, "", " \n\n \n"]
     d = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string").union(documents(spark).select("doc_id", "text")).union(odd(spark).select("doc_id", "text"))
     found = 0
