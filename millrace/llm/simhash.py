@@ -37,6 +37,7 @@ from .graph import components
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
+HOT = 1000
 #: (shift, width) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the (23, 12) Golay code.
@@ -185,10 +186,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives an empty result.
     """
     own = materialize(fingerprints(docs))
-    least = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("tag")))
+    least = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("tag"), F.count("*").alias("n")))
     # A node is ordered by its least doc_id, so the least node of a component carries the answer and no group is gathered by its root.
     node = lambda c: F.struct(F.col(f"{c}.tag").isNull().alias("none"), F.col(f"{c}.tag").alias("tag"), F.col(f"{c}.fp").alias("fp")).alias(c)
     root = components(links(least).select(node("u"), node("v")))
     found = root.select(F.col("node.fp").alias("fp"), F.col("root.tag").alias("root_tag"), F.lit(True).alias("linked"))
-    named = least.join(found, "fp", "left").select("fp", F.when(F.col("linked"), F.col("root_tag")).otherwise(F.col("tag")).alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(least.join(found, "fp", "left").select("fp", "n", F.when(F.col("linked"), F.col("root_tag")).otherwise(F.col("tag")).alias("component_id")))
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Fewer than HOT fingerprints can have more than a HOT-th of the rows each, so these are broadcast and no key of the other join is hot.
+    is_hot = F.col("n") * HOT > total
+    hot = F.broadcast(named.where(is_hot).drop("n"))
+    cold = named.where(~is_hot).drop("n")
+    few = own.join(hot, "fp")
+    rest = own.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp")
+    return few.union(rest).select("doc_id", "fp", "component_id")
