@@ -103,8 +103,8 @@ def _control_plane(t: Tables) -> ControlStore:
     return store
 
 
-@query(_with("config", "state") + """SELECT phase, COUNT(*) AS tables, CAST(ROUND(SUM(est_size_mb) / 1024.0, 1) AS DOUBLE) AS gb_estimated, CAST(ROUND(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (), 1) AS DOUBLE) AS pct_of_tables
-FROM state JOIN config USING (table_id) WHERE in_scope GROUP BY phase""")
+@query(_with("config", "state") + """, scoped AS (SELECT phase, est_size_mb FROM state JOIN config USING (table_id) WHERE in_scope)
+SELECT phase, COUNT(*) AS tables, CAST(ROUND(SUM(est_size_mb) / 1024.0, 1) AS DOUBLE) AS gb_estimated, CAST(ROUND(100.0 * COUNT(*) / (SELECT COUNT(*) FROM scoped), 1) AS DOUBLE) AS pct_of_tables FROM scoped GROUP BY phase""")
 def ops_progress(t: Tables) -> DataFrame:
     return ops.progress(_control_plane(t))
 
@@ -134,9 +134,8 @@ def ops_where_did_it_stop(t: Tables) -> DataFrame:
     return ops.where_it_stopped(_control_plane(t), "europe", "france")
 
 
-@query(_with("config", "tasks") + """, recent AS (SELECT table_id, rows_extracted, row_number() OVER (PARTITION BY table_id ORDER BY day DESC) AS rn FROM tasks WHERE status = 'PUBLISHED' AND chunk_no IS NULL),
-two AS (SELECT table_id, MAX(rows_extracted) FILTER (rn = 1) AS latest_rows, AVG(rows_extracted) FILTER (rn BETWEEN 2 AND 8) AS prior FROM recent GROUP BY table_id)
-SELECT source_schema, source_table, latest_rows, ROUND(prior, 0) AS prior_7_avg FROM two JOIN config USING (table_id) WHERE latest_rows < 0.2 * prior""")
+@query(_with("config", "tasks") + """, history AS (SELECT table_id, list(rows_extracted ORDER BY day DESC) AS n FROM tasks WHERE status = 'PUBLISHED' AND chunk_no IS NULL GROUP BY table_id)
+SELECT source_schema, source_table, n[1] AS latest_rows, ROUND(list_avg(n[2:8]), 0) AS prior_7_avg FROM history JOIN config USING (table_id) WHERE n[1] < 0.2 * list_avg(n[2:8])""")
 def ops_anomaly(t: Tables) -> DataFrame:
     return ops.anomalies(_control_plane(t))
 
