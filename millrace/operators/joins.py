@@ -56,11 +56,15 @@ def _check(how: str) -> None:
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, n: int = 16, how: str = "inner", row_key: Sequence[str] | None = None, seed: int | None = None) -> DataFrame:
-    """Every key is dealt over ``n`` salts; the small side is repeated ``n`` times."""
+    """Every key is dealt over ``n`` salts; the small side is repeated ``n`` times.
+
+    Both sides are shuffled and sorted: the estimate by which Spark broadcasts leaves
+    out the repetition, so it would send ``n`` times what its limit allows.
+    """
     _check(how)
     left = big.withColumn("__salt", salt_of(big, n, row_key, seed))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return left.join(right.hint("merge"), [key, "__salt"], how).drop("__salt")
 
 
 def conditional_salted_join(big: DataFrame, small: DataFrame, key: str, above: int, n: int = 16, how: str = "inner", row_key: Sequence[str] | None = None, seed: int | None = None) -> DataFrame:

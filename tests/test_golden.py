@@ -131,6 +131,14 @@ def test_salting(spark):
         joins.salted_join(orders, people, "customer_id", how="full")
 
 
+def test_salting_repeats_are_not_broadcast(spark):
+    orders, people = generators.skewed_orders(spark, 20_000, customers=40)
+    for how in ("inner", "left"):
+        salted = joins.salted_join(orders, people, "customer_id", how=how)
+        assert len(salted.collect()) == 20_000  # collected, so that the plan is the one that ran
+        assert "SortMergeJoin" in inspect.joins_and_exchanges(salted) and not inspect.broadcasts(salted)
+
+
 def test_salting_full_counts(spark):
     orders, people = generators.skewed_orders(spark, 2_000_000)
     assert people.count() == 4001 and joins.busiest(orders, ["customer_id"]).first()[0] == 1_600_000
